@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import timing
@@ -50,15 +50,14 @@ def attach_bucket_counts(df: DataFrame, keys: Iterable[str], spread_by: Sequence
     stats = keyed_stats(source, [(key, "hour", "hour_2", "hour_4", "hour_6", "hour_12") for key in keys])
     for key in keys:
         grain = (key, "hour", "hour_2", "hour_4", "hour_6", "hour_12")
-        rolled = stats.of(grain)
-        counts = {bucket_name(key, 12): F.col(ROWS)}
+        counts = [f"{ROWS} AS {bucket_name(key, 12)}"]
         for bins in (1, 2, 4, 6):
             unit = "hour" if bins == 1 else f"hour_{bins}"
-            counts[bucket_name(key, bins)] = F.sum(ROWS).over(Window.partitionBy(key, unit))
-        rolled = rolled.select(key, "hour_12", *[column.alias(name) for name, column in counts.items()])
+            counts.append(f"sum({ROWS}) OVER (PARTITION BY {key}, {unit}) AS {bucket_name(key, bins)}")
+        rolled = stats.of(grain).selectExpr(key, "hour_12", *counts)
         hot = stats.hot_keys(grain)
         hot = None if hot is None else hot.select(key, "hour_12", ROWS)
-        df = attach(df, rolled, (key, "hour_12"), size=stats.sizes[grain], hot=hot, spread_by=spread_by)
+        df = attach(df, rolled, (key, "hour_12"), size=stats.sizes[grain], hot=hot, spread_by=spread_by, bound=stats.limits)
     return df
 
 

@@ -13,9 +13,8 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.rates import LABEL, buys, known_rows, ratio
+from clickloom.functions.rates import LABEL, buys, known_rows
 from clickloom.operators.keyed import ROWS, Keys, KeyedStats, as_keys, attach, keyed_stats
-from clickloom.session import limits
 
 DAY = "day_idx"
 _ROW_KEY = ("instance_id",)
@@ -36,8 +35,7 @@ def _derived(df: DataFrame, features: Mapping[str, Column], drop: Iterable[str])
 
 def _counted_rows(now: DataFrame, key_sets: Sequence[Keys], his: KeyedStats) -> KeyedStats | None:
     """Row counts of ``now`` by those key sets whose statistics are too large to broadcast."""
-    bound = limits(now.sparkSession).broadcast_rows
-    large = [keys for keys in key_sets if his.sizes[keys] > bound]
+    large = [keys for keys in key_sets if his.sizes[keys] > his.limits.broadcast_rows]
     return keyed_stats(now, large) if large else None
 
 
@@ -45,7 +43,7 @@ def _attach_history(now: DataFrame, his: KeyedStats, features: Mapping[Keys, Map
     rows = _counted_rows(now, list(features), his)
     for keys, named in features.items():
         hot = rows.hot_keys(keys) if rows is not None and keys in rows.hot else None
-        now = attach(now, his.of(keys, **named), keys, size=his.sizes[keys], hot=hot, spread_by=spread_by)
+        now = attach(now, his.of(keys, **named), keys, size=his.sizes[keys], hot=hot, spread_by=spread_by, bound=his.limits)
     return now
 
 
@@ -60,7 +58,7 @@ def history_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys],
     rates = {}
     for keys in key_sets:
         name = key_name(keys)
-        rates[f"{name}_cvr"] = ratio(F.col(f"{name}_buy"), F.col(f"{name}_sum"))
+        rates[f"{name}_cvr"] = F.expr(f"{name}_buy / nullif({name}_sum, 0)")
     return now.withColumns(rates)
 
 
@@ -76,10 +74,9 @@ def rate_features(his: DataFrame, now: DataFrame, named_keys: Mapping[str, str |
 def _filled_rates(names: Iterable[str], fill: float) -> dict[str, Column]:
     columns: dict[str, Column] = {}
     for name in names:
-        seen, bought = F.col(f"{name}_count"), F.col(f"{name}_sum")
-        columns[f"{name}_rate"] = F.coalesce(ratio(bought, seen), F.lit(fill))
-        columns[f"{name}_count"] = F.coalesce(seen, F.lit(0))
-        columns[f"{name}_sum"] = F.coalesce(bought, F.lit(0))
+        columns[f"{name}_rate"] = F.expr(f"coalesce({name}_sum / nullif({name}_count, 0), {fill}D)")
+        columns[f"{name}_count"] = F.expr(f"coalesce({name}_count, 0)")
+        columns[f"{name}_sum"] = F.expr(f"coalesce({name}_sum, 0)")
     return columns
 
 
@@ -113,9 +110,10 @@ def first_appearance(his: DataFrame, now: DataFrame, named: Mapping[str, str], s
 # ---- as-of form ------------------------------------------------------------------------------
 
 
-def _running(keys: Keys, first: int | None, last: int = -1) -> Window:
-    start = Window.unboundedPreceding if first is None else first
-    return Window.partitionBy(*keys).orderBy(DAY).rangeBetween(start, last)
+def _frame(keys: Keys, days: int | None) -> str:
+    """The days before a row's own, all of them or the last ``days``."""
+    start = "UNBOUNDED" if days is None else str(days)
+    return f"(PARTITION BY {', '.join(keys)} ORDER BY {DAY} RANGE BETWEEN {start} PRECEDING AND 1 PRECEDING)"
 
 
 def attach_asof(
@@ -139,12 +137,11 @@ def attach_asof(
     stats = keyed_stats(df if source is None else source, [(*keys, DAY) for keys in key_sets], **daily)
     for keys in key_sets:
         by_day = (*keys, DAY)
-        frame = _running(keys, None if days is None else -days)
-        sums = stats.of(by_day).select(
-            *by_day,
-            *[F.sum(column).over(frame).alias(f"{prefix}{key_name(keys)}_{suffix}") for suffix, column in running.items()],
+        frame = _frame(keys, days)
+        sums = stats.of(by_day).selectExpr(
+            *by_day, *[f"sum({column}) OVER {frame} AS {prefix}{key_name(keys)}_{suffix}" for suffix, column in running.items()]
         )
-        df = attach(df, sums, by_day, size=stats.sizes[by_day], hot=stats.hot_keys(by_day), spread_by=spread_by)
+        df = attach(df, sums, by_day, size=stats.sizes[by_day], hot=stats.hot_keys(by_day), spread_by=spread_by, bound=stats.limits)
     return df, key_sets
 
 
@@ -175,12 +172,11 @@ def asof_cvr(
         df = df.join(F.broadcast(history_days(source)), DAY, "left")
     for keys in key_sets:
         name = key_name(keys)
-        seen, bought = F.col(f"{name}_sum"), F.col(f"{name}_buy")
-        columns[f"{name}_cvr"] = ratio(bought, seen)
+        columns[f"{name}_cvr"] = F.expr(f"{name}_buy / nullif({name}_sum, 0)")
         # a key whose earlier rows are all unlabelled has no history
-        seen, bought = F.when(seen > 0, seen), F.when(seen > 0, bought)
-        columns[f"{name}_sum"] = seen / F.col("days_before") if per_day else seen
-        columns[f"{name}_buy"] = bought / F.col("days_before") if per_day else bought
+        by_days = " / days_before" if per_day else ""
+        columns[f"{name}_sum"] = F.expr(f"nullif({name}_sum, 0){by_days}")
+        columns[f"{name}_buy"] = F.expr(f"CASE WHEN {name}_sum > 0 THEN {name}_buy{by_days} END")
     df = df.withColumns(columns)
     return df.drop("days_before") if per_day else df
 
@@ -208,15 +204,11 @@ def asof_means(df: DataFrame, named: Mapping[str, tuple[str | Keys, str]], days:
     stats = keyed_stats(df if source is None else source, [(*keys, DAY) for keys in wanted], **daily)
     for keys, pairs in wanted.items():
         by_day = (*keys, DAY)
-        frame = _running(keys, None if days is None else -days)
-        means = stats.of(by_day).select(
-            *by_day,
-            *[
-                ratio(F.sum(f"t_{a}").over(frame), F.sum(f"c_{a}").over(frame)).alias(name)
-                for name, a in pairs
-            ],
+        frame = _frame(keys, days)
+        means = stats.of(by_day).selectExpr(
+            *by_day, *[f"sum(t_{a}) OVER {frame} / nullif(sum(c_{a}) OVER {frame}, 0) AS {name}" for name, a in pairs]
         )
-        df = attach(df, means, by_day, size=stats.sizes[by_day], hot=stats.hot_keys(by_day), spread_by=spread_by)
+        df = attach(df, means, by_day, size=stats.sizes[by_day], hot=stats.hot_keys(by_day), spread_by=spread_by, bound=stats.limits)
     return df
 
 

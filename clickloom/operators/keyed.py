@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.session import limits, written
+from clickloom.session import Limits, limits, written
 
 Keys = tuple[str, ...]
 
@@ -43,13 +43,14 @@ class KeyedStats:
     sizes: Mapping[Keys, int]
     hot: Mapping[Keys, int]
     values: tuple[str, ...]
+    limits: Limits
 
     def of(self, keys: str | Iterable[str], **renamed: str) -> DataFrame:
         """Aggregates of one key set; ``renamed`` picks them as ``new_name=old_name``."""
         keys = as_keys(keys)
         picked = renamed or {v: v for v in self.values}
-        return self.table.where(F.col(_SET) == self.set_ids[keys]).select(
-            *keys, *[F.col(old).alias(new) for new, old in picked.items()]
+        return self.table.where(f"{_SET} = {self.set_ids[keys]}").selectExpr(
+            *keys, *[f"{old} AS {new}" for new, old in picked.items()]
         )
 
     def hot_keys(self, keys: str | Iterable[str]) -> DataFrame | None:
@@ -57,8 +58,7 @@ class KeyedStats:
         keys = as_keys(keys)
         if not self.hot[keys]:
             return None
-        bound = limits(self.table.sparkSession).hot_rows
-        return self.of(keys, **{ROWS: ROWS}).where(F.col(ROWS) > bound)
+        return self.of(keys, **{ROWS: ROWS}).where(f"{ROWS} > {self.limits.hot_rows}")
 
 
 def keyed_stats(df: DataFrame, key_sets: Iterable[str | Iterable[str]], **aggregates: Column) -> KeyedStats:
@@ -74,13 +74,14 @@ def keyed_stats(df: DataFrame, key_sets: Iterable[str | Iterable[str]], **aggreg
         F.count("*").alias(ROWS),
         *[column.alias(name) for name, column in aggregates.items()],
     )
-    table = written(grouped, partition_by=_SET)
-    hot_rows = limits(df.sparkSession).hot_rows
+    # rows of one set lie together, so reading one set skips the row groups of the others
+    table = written(grouped, sort_by=_SET)
+    bound = limits(df.sparkSession)
     # one row per key set
     counted = {
         row[_SET]: row
         for row in table.groupBy(_SET)
-        .agg(F.count("*").alias("keys"), F.count_if(F.col(ROWS) > hot_rows).alias("hot"))
+        .agg(F.count("*").alias("keys"), F.count_if(F.col(ROWS) > bound.hot_rows).alias("hot"))
         .collect()
     }
     return KeyedStats(
@@ -89,6 +90,7 @@ def keyed_stats(df: DataFrame, key_sets: Iterable[str | Iterable[str]], **aggreg
         sizes={keys: counted[i]["keys"] if i in counted else 0 for keys, i in ids.items()},
         hot={keys: counted[i]["hot"] if i in counted else 0 for keys, i in ids.items()},
         values=(ROWS, *aggregates),
+        limits=bound,
     )
 
 
@@ -100,6 +102,7 @@ def attach(
     size: int | None = None,
     hot: DataFrame | None = None,
     spread_by: Sequence[str] = ("instance_id",),
+    bound: Limits | None = None,
 ) -> DataFrame:
     """Left-join ``stats`` (one row per key) to ``df``.
 
@@ -108,7 +111,7 @@ def attach(
     ``spread_by`` names columns that tell the rows of one key apart.
     """
     on = list(as_keys(on))
-    bound = limits(df.sparkSession)
+    bound = bound or limits(df.sparkSession)
     if size is not None and size <= bound.broadcast_rows:
         return df.join(F.broadcast(stats), on, "left")
     if hot is None:
@@ -164,5 +167,6 @@ def attach_each(
             size=stats.sizes[keys],
             hot=counted.hot_keys(keys) if keys in counted.hot else None,
             spread_by=spread_by,
+            bound=stats.limits,
         )
     return df

@@ -176,7 +176,8 @@ def rank_ratios(df: DataFrame, named: Mapping[str, str], by: str = "time_rank")
 
 def before_click_features(df: DataFrame, category: str = "cate_1") -> DataFrame:
     """Ranks over distinct times by user, and by user with category, shop, item and brand; what remains; rank ratios."""
-    df = place_features(df, "user_id", distinct_time_rank("time_rank"))
+    log = df
+    df = place_features(log, "user_id", distinct_time_rank("time_rank"))
     for label, key in {"cate": category, "shop": "shop_id", "item": "item_id", "brand": "item_brand_id"}.items():
-        df = place_features(df, ("user_id", key), distinct_time_rank(f"{label}_time_rank", f"{label}_count_rank_cha"))
+        df = place_features(df, ("user_id", key), distinct_time_rank(f"{label}_time_rank", f"{label}_count_rank_cha"), source=log)
     return rank_ratios(df, {"shop_count_user_click_rate": "shop_time_rank", "cate_count_user_click_rate": "cate_time_rank"})

@@ -31,23 +31,25 @@ def query(function: Query) -> Query:
 def result(df: DataFrame, columns: Iterable[str] | None = None, ids: Iterable[str] = ("instance_id",)) -> DataFrame:
     """Integers as bigint and doubles to six places, so that both engines give one form."""
     names = list(df.columns if columns is None else [*ids, *columns])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for name in names:
-        kind = df.schema[name].dataType
-        column = F.col(name)
+        kind = kinds[name]
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            column = F.round(column, 6)
+            out.append(f"round({name}, 6) AS {name}")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):
-            column = column.cast("bigint")
+            out.append(f"CAST({name} AS BIGINT) AS {name}")
         elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
-        out.append(column.alias(name))
-    return df.select(*out)
+            out.append(f"date_format({name}, 'yyyy-MM-dd HH:mm:ss') AS {name}")
+        else:
+            out.append(name)
+    return df.selectExpr(*out)
 
 
 def added(df: DataFrame, base: DataFrame) -> DataFrame:
     """The id and the columns that ``base`` lacks."""
-    return result(df, [c for c in df.columns if c not in base.columns])
+    known = set(base.columns)
+    return result(df, [c for c in df.columns if c not in known])
 
 
 def by_hour(log: DataFrame) -> DataFrame:

@@ -56,22 +56,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, partition_by: str | None = None, sort_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
-    This cuts the lineage, outlives lost executors, and lets later readers prune columns and
-    partitions, which an RDD checkpoint does not.
+    This cuts the lineage, outlives lost executors, and lets later readers prune columns, partitions
+    and (where ``sort_by`` orders the rows of each file) row groups; an RDD checkpoint does not.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/clickloom/{uuid.uuid4().hex}"
+    schema = df.schema
+    if sort_by:
+        df = df.sortWithinPartitions(sort_by)
     writer = df.write
     if partition_by:
         # gathers each folder's rows into few files; AQE splits a folder too large for one task
         writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
-    writer.parquet(path)
-    schema = df.schema
-    if partition_by:
         # the partition column comes last when read back
         fields = [f for f in schema.fields if f.name != partition_by] + [schema[partition_by]]
         schema = type(schema)(fields)
+    writer.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -15,46 +15,44 @@ FIRST_DAY = "2024-01-01"
 STAR_FIRST_DAY = "1995-01-01"
 
 
+# Column definitions over events with k = the number in props.
+EVENT_COLUMNS = {
+    "instance_id": "event_id",
+    "item_id": "k",
+    "item_category_list": "if(k % 2 = 0, concat_ws(';', '7', k % 7, k % 3), concat_ws(';', '7', k % 7))",
+    "item_property_list": "concat_ws(';', k, k % 11, k % 13)",
+    "item_brand_id": "k % 10",
+    "item_city_id": "k % 5",
+    "item_price_level": "least(floor(value / 10), 20)",
+    "item_sales_level": "k % 12",
+    "item_collected_level": "k % 13",
+    "item_pv_level": "k % 15",
+    "user_id": "user_id",
+    "user_gender_id": "user_id % 3",
+    "user_age_level": "user_id % 8",
+    "user_occupation_id": "user_id % 4",
+    "user_star_level": "user_id % 11",
+    "context_id": "event_id",
+    "context_timestamp": "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)",
+    "context_page_id": "event_id % 20",
+    "predict_category_property": "if(event_id % 20 = 0, '-1', concat(k % 7, ':', k, ',', k % 11, ';', user_id % 7, ':', k % 5))",
+    "shop_id": "k % 25",
+    "shop_review_num_level": "(k % 25) % 6",
+    "shop_review_positive_rate": "(k % 25) / 25D",
+    "shop_star_level": "(k % 25) % 4",
+    "shop_score_service": "((k % 25) % 8) / 8D",
+    "shop_score_delivery": "((k % 25) % 5) / 5D",
+    "shop_score_description": "((k % 25) % 10) / 10D",
+    "is_trade": "event_type = 'purchase'",
+}
+
+
 def raw_events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, user, event = F.col("k"), F.col("user_id"), F.col("event_id")
-    text = lambda c: c.cast("string")
-    epoch = F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))
-    columns = {
-        "instance_id": event,
-        "item_id": k,
-        "item_category_list": F.when(k % 2 == 0, F.concat_ws(";", F.lit("7"), text(k % 7), text(k % 3))).otherwise(
-            F.concat_ws(";", F.lit("7"), text(k % 7))
-        ),
-        "item_property_list": F.concat_ws(";", text(k), text(k % 11), text(k % 13)),
-        "item_brand_id": k % 10,
-        "item_city_id": k % 5,
-        "item_price_level": F.least(F.floor(F.col("value") / 10), F.lit(20)),
-        "item_sales_level": k % 12,
-        "item_collected_level": k % 13,
-        "item_pv_level": k % 15,
-        "user_id": user,
-        "user_gender_id": user % 3,
-        "user_age_level": user % 8,
-        "user_occupation_id": user % 4,
-        "user_star_level": user % 11,
-        "context_id": event,
-        "context_timestamp": epoch,
-        "context_page_id": event % 20,
-        "predict_category_property": F.when(event % 20 == 0, F.lit("-1")).otherwise(
-            F.concat(text(k % 7), F.lit(":"), text(k), F.lit(","), text(k % 11), F.lit(";"), text(user % 7), F.lit(":"), text(k % 5))
-        ),
-        "shop_id": k % 25,
-        "shop_review_num_level": (k % 25) % 6,
-        "shop_review_positive_rate": (k % 25) / F.lit(25.0),
-        "shop_star_level": (k % 25) % 4,
-        "shop_score_service": ((k % 25) % 8) / F.lit(8.0),
-        "shop_score_delivery": ((k % 25) % 5) / F.lit(5.0),
-        "shop_score_description": ((k % 25) % 10) / F.lit(10.0),
-        "is_trade": F.col("event_type") == "purchase",
-    }
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-    return events.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in CLICK_LOG.fields])
+    events = events.selectExpr("*", "CAST(get_json_object(props, '$.k') AS INT) AS k")
+    return events.selectExpr(
+        *[f"CAST({EVENT_COLUMNS[f.name]} AS {f.dataType.simpleString()}) AS {f.name}" for f in CLICK_LOG.fields]
+    )
 
 
 def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:

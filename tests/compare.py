@@ -18,13 +18,6 @@ TESTDATA = "/root/testdata"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 
-def canonical(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame[sorted(frame.columns)].copy()
-    for column in frame.columns:
-        frame[column] = frame[column].map(lambda v: None if v is None or v != v else v).astype(object)
-    return frame.sort_values(list(frame.columns), key=lambda s: s.map(repr)).reset_index(drop=True)
-
-
 def oracle_connection(sf_dir: str):
     connection = duckdb.connect()
     for table in TABLES:
@@ -33,7 +26,8 @@ def oracle_connection(sf_dir: str):
 
 
 def rows(frame: pd.DataFrame) -> list[tuple]:
-    return sorted((tuple(None if v is None or v != v else v for v in r) for r in frame.itertuples(index=False)), key=repr)
+    clean = (tuple(None if pd.isna(v) else v.item() if hasattr(v, "item") else v for v in r) for r in frame.itertuples(index=False))
+    return sorted(clean, key=repr)
 
 
 def difference(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
