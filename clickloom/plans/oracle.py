@@ -39,7 +39,7 @@ raw_log AS (
 )"""
 
 LOG = RAW + """,
-log AS (
+log AS MATERIALIZED (
   SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day_idx,
     day(ts) AS day, hour(ts) AS hour, minute(ts) AS minute,
     hour(ts) * 2 + minute(ts) // 30 AS hour_2, hour(ts) * 4 + minute(ts) // 15 AS hour_4,
@@ -58,10 +58,10 @@ log AS (
 )"""
 
 HOURLY = LOG + """,
-hourly AS (SELECT * REPLACE (context_timestamp - context_timestamp % 3600 AS context_timestamp) FROM log)"""
+hourly AS MATERIALIZED (SELECT * REPLACE (context_timestamp - context_timestamp % 3600 AS context_timestamp) FROM log)"""
 
 ASSEMBLED = LOG + f""",
-assembled AS (
+assembled AS MATERIALIZED (
   SELECT * REPLACE (CASE day_idx WHEN {TARGET - 1} THEN -1 WHEN {TARGET} THEN -2 ELSE is_trade END AS is_trade) FROM log
 )"""
 
@@ -72,7 +72,7 @@ scored AS (
 )"""
 
 STAR = """
-star AS (
+star AS MATERIALIZED (
   SELECT l_orderkey AS context_id, o_custkey AS user_id, l_partkey AS item_id, p_brand AS item_brand_id,
     CAST(floor((p_retailprice - 900) / 10) AS INT) AS item_price_level, p_size AS item_sales_level, p_type AS cate_1,
     l_suppkey AS shop_id, s_nationkey AS shop_star_level, c_mktsegment AS user_occupation_id, c_nationkey AS user_age_level,
@@ -155,10 +155,13 @@ def add_history(joins: Joins, key_sets, source: str) -> None:
 
 
 def add_asof(joins: Joins, key_sets, source: str, per_day: bool = False) -> None:
+    days = ""
+    if per_day:
+        earlier = joins.join("day_idx", f"SELECT day_idx, row_number() OVER (ORDER BY day_idx) - 1 AS n FROM (SELECT DISTINCT day_idx FROM {source})")
+        days = f"{earlier}.n"
     for keys in key_sets:
         name, a = key_name(keys), joins.asof(keys, OUTCOMES, TOTALS, source)
         if per_day:
-            days = f"(SELECT count(DISTINCT x.day_idx) FROM {source} x WHERE x.day_idx < e.day_idx)"
             joins.columns += [
                 real(f"CASE WHEN {a}.n > 0 THEN {a}.n / {days} END", f"{name}_sum"),
                 real(f"CASE WHEN {a}.n > 0 THEN {a}.b / {days} END", f"{name}_buy"),
@@ -310,8 +313,8 @@ NOW = f"(SELECT * FROM log WHERE day_idx = {TARGET})"
 
 def final_stage_features() -> str:
     ctes = LOG + SCORED.format(source="log") + f""",
-now AS (SELECT * FROM log WHERE day_idx = {TARGET}),
-wide AS (SELECT instance_id, {', '.join(['hour_2', 'hour_4', 'hour_6', 'hour_12', *buckets(presets.FINAL_BUCKET_KEYS), *counts(presets.FINAL_TOTALS), *counts(presets.FINAL_USER_PAIRS), *final_ordered()])} FROM now)"""
+now AS MATERIALIZED (SELECT * FROM log WHERE day_idx = {TARGET}),
+wide AS MATERIALIZED (SELECT instance_id, {', '.join(['hour_2', 'hour_4', 'hour_6', 'hour_12', *buckets(presets.FINAL_BUCKET_KEYS), *counts(presets.FINAL_TOTALS), *counts(presets.FINAL_USER_PAIRS), *final_ordered()])} FROM now)"""
     joins = Joins("now", ctes)
     w = joins.join("instance_id", "SELECT * FROM wide")
     joins.columns.append(f"{w}.* EXCLUDE (instance_id, hour_2, hour_4, hour_6, hour_12)")

@@ -33,11 +33,14 @@ def day_features(log: DataFrame, days: Sequence[int], window: int = presets.ROLL
     # the frames look back this far and no further, so older partitions are not read
     source = log.where(F.col("day_idx").between(first - window, last))
     df = ordered.place_features(log.where(F.col("day_idx").isin(*days)), "user_id", ordered.next_previous(), source=log)
-    df = today_features(df, source)
+    df = written(today_features(df, source))
     df = history.asof_means(df, presets.ROLLING_MEANS, days=window, source=source)
     df = history.mean_deviations(df, presets.ROLLING_DEVIATIONS)
-    df = history.asof_first_appearance(df, presets.FIRST_SEEN, days=window, source=source)
-    return history.asof_rates(df, presets.ROLLING_RATES, days=window, source=source)
+    df = written(history.asof_first_appearance(df, presets.FIRST_SEEN, days=window, source=source))
+    single = {name: keys for name, keys in presets.ROLLING_RATES.items() if len(keys) == 1}
+    several = {name: keys for name, keys in presets.ROLLING_RATES.items() if len(keys) > 1}
+    df = history.asof_rates(df, single, days=window, source=source)
+    return history.asof_rates(written(df), several, days=window, source=source)
 
 
 def run(log: DataFrame, days: Sequence[int], booster: model.Booster = presets.ROLLING_BOOSTER) -> tuple[DataFrame, int]:
