@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
@@ -116,6 +117,14 @@ def _gain(values: np.ndarray, keys: np.ndarray, at: float) -> float:
     return float(np.sum(keys * (digamma(values + at) - digamma(at))))
 
 
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _log_gain(values: np.ndarray, keys: np.ndarray, at: float) -> float:
+    """Sum over keys of log-gamma(value + at) - log-gamma(at)."""
+    return float(np.sum(keys * (_lgamma(values + at) - math.lgamma(at))))
+
+
 def _bend(values: np.ndarray, keys: np.ndarray, at: float) -> float:
     return float(np.sum(keys * (trigamma(values + at) - trigamma(at))))
 
@@ -123,8 +132,8 @@ def _bend(values: np.ndarray, keys: np.ndarray, at: float) -> float:
 def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_steps: int = 200, epsilon: float = 1e-8, compat: bool = False, start: tuple[float, float] | None = None) -> Prior:
     """Maximum-likelihood beta prior from the histograms of I, C and M.
 
-    Newton steps on the two stationarity equations; a step that leaves the positive quadrant or does
-    not shrink the residual is replaced by the fixed-point step. ``compat`` uses fixed-point steps
+    Newton steps where the likelihood is concave; a step that leaves the positive quadrant or does
+    not raise the likelihood is replaced by the fixed-point step, which always raises it. ``compat`` uses fixed-point steps
     only, from (1, 1), as capped by ``max_steps``.
     """
     empty = (np.zeros(0), np.zeros(0))
@@ -138,6 +147,9 @@ def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_step
         up, down = _gain(cv, ck, a), _gain(mv, mk, b)
         return up - whole, down - whole, up, down, whole
 
+    def likelihood(a: float, b: float) -> float:
+        return _log_gain(cv, ck, a) + _log_gain(mv, mk, b) - _log_gain(iv, ik, a + b)
+
     alpha, beta = start or ((1.0, 1.0) if compat else _rough_start(iv, ik, cv, ck))
     for step in range(1, max_steps + 1):
         f, g, up, down, whole = residual(alpha, beta)
@@ -147,11 +159,10 @@ def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_step
             wb = _bend(iv, ik, alpha + beta)
             faa, fbb, fab = _bend(cv, ck, alpha) - wb, _bend(mv, mk, beta) - wb, -wb
             det = faa * fbb - fab * fab
-            if det != 0:
+            if faa < 0 and det > 0:
                 tried = (alpha - (f * fbb - g * fab) / det, beta - (g * faa - f * fab) / det)
                 if min(tried) > 0 and all(map(np.isfinite, tried)):
-                    nf, ng, *_ = residual(*tried)
-                    if abs(nf) + abs(ng) < abs(f) + abs(g):
+                    if likelihood(*tried) >= likelihood(alpha, beta):
                         new = tried
         moved = max(abs(new[0] - alpha), abs(new[1] - beta))
         if moved < epsilon:
