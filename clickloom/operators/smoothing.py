@@ -174,8 +174,13 @@ def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_step
 
 
 def _rough_start(iv: np.ndarray, ik: np.ndarray, cv: np.ndarray, ck: np.ndarray) -> tuple[float, float]:
+    """Moments: the mean rate, and its mean square from pairs of impressions of one key."""
     mean = float(np.sum(cv * ck) / np.sum(iv * ik))
-    strength = max(float(np.sum(iv * ik) / max(np.sum(ik), 1.0)), 2.0)
+    pairs = float(np.sum(iv * (iv - 1) * ik))
+    spread = float(np.sum(cv * (cv - 1) * ck)) / pairs - mean * mean if pairs else 0.0
+    strength = mean * (1 - mean) / spread - 1 if spread > 0 else 0.0
+    if strength <= 0:
+        strength = max(float(np.sum(iv * ik) / max(np.sum(ik), 1.0)), 2.0)
     return max(mean * strength, 1e-3), max((1 - mean) * strength, 1e-3)
 
 
