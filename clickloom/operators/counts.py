@@ -47,14 +47,16 @@ def attach_bucket_counts(df: DataFrame, keys: Iterable[str], spread_by: Sequence
     keys = list(keys)
     df = df.withColumns(timing.time_buckets())
     source = df if source is None else source.withColumns(timing.time_buckets())
-    stats = keyed_stats(source, [(key, "hour", "hour_2", "hour_4", "hour_6", "hour_12") for key in keys])
+    units = ("hour", "hour_2", "hour_4", "hour_6", "hour_12")
+    # an hour holds its bins whole, so partitioning each window by the hour as well changes nothing
+    # but lets all of them share one shuffle
+    within = {f"n_{bins}": f"sum({ROWS}) OVER (PARTITION BY {{keys}}, hour, hour_{bins})" for bins in (2, 4, 6)}
+    within["n_1"] = f"sum({ROWS}) OVER (PARTITION BY {{keys}}, hour)"
+    stats = keyed_stats(source, [(key, *units) for key in keys], within, units)
     for key in keys:
-        grain = (key, "hour", "hour_2", "hour_4", "hour_6", "hour_12")
-        counts = [f"{ROWS} AS {bucket_name(key, 12)}"]
-        for bins in (1, 2, 4, 6):
-            unit = "hour" if bins == 1 else f"hour_{bins}"
-            counts.append(f"sum({ROWS}) OVER (PARTITION BY {key}, {unit}) AS {bucket_name(key, bins)}")
-        rolled = stats.of(grain).selectExpr(key, "hour_12", *counts)
+        grain = (key, *units)
+        named = {bucket_name(key, bins): f"n_{bins}" for bins in (1, 2, 4, 6)}
+        rolled = stats.of(grain, **named, **{bucket_name(key, 12): ROWS}).drop(*units[:-1])
         hot = stats.hot_keys(grain)
         hot = None if hot is None else hot.select(key, "hour_12", ROWS)
         df = attach(df, rolled, (key, "hour_12"), size=stats.sizes[grain], hot=hot, spread_by=spread_by, bound=stats.limits)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL, buys, known_rows
-from clickloom.operators.keyed import ROWS, Keys, KeyedStats, as_keys, attach, keyed_stats
+from clickloom.operators.keyed import ROWS, Keys, KeyedStats, as_keys, attach, attach_each, keyed_stats
 
 DAY = "day_idx"
 _ROW_KEY = ("instance_id",)
@@ -110,10 +110,10 @@ def first_appearance(his: DataFrame, now: DataFrame, named: Mapping[str, str], s
 # ---- as-of form ------------------------------------------------------------------------------
 
 
-def _frame(keys: Keys, days: int | None) -> str:
-    """The days before a row's own, all of them or the last ``days``."""
+def _before(days: int | None) -> str:
+    """The days before a row's own, all of them or the last ``days``: at most one row per day."""
     start = "UNBOUNDED" if days is None else str(days)
-    return f"(PARTITION BY {', '.join(keys)} ORDER BY {DAY} RANGE BETWEEN {start} PRECEDING AND 1 PRECEDING)"
+    return f"(PARTITION BY {{keys}} ORDER BY {DAY} RANGE BETWEEN {start} PRECEDING AND 1 PRECEDING)"
 
 
 def attach_asof(
@@ -134,14 +134,10 @@ def attach_asof(
     ``df`` is only some days of it; it must hold those days as well.
     """
     key_sets = [as_keys(k) for k in key_sets]
-    stats = keyed_stats(df if source is None else source, [(*keys, DAY) for keys in key_sets], **daily)
-    for keys in key_sets:
-        by_day = (*keys, DAY)
-        frame = _frame(keys, days)
-        sums = stats.of(by_day).selectExpr(
-            *by_day, *[f"sum({column}) OVER {frame} AS {prefix}{key_name(keys)}_{suffix}" for suffix, column in running.items()]
-        )
-        df = attach(df, sums, by_day, size=stats.sizes[by_day], hot=stats.hot_keys(by_day), spread_by=spread_by, bound=stats.limits)
+    within = {f"run_{suffix}": f"sum({column}) OVER {_before(days)}" for suffix, column in running.items()}
+    stats = keyed_stats(df if source is None else source, [(*keys, DAY) for keys in key_sets], within, (DAY,), **daily)
+    named = {(*keys, DAY): {f"{prefix}{key_name(keys)}_{suffix}": f"run_{suffix}" for suffix in running} for keys in key_sets}
+    df = attach_each(df, stats, named, spread_by=spread_by)
     return df, key_sets
 
 
@@ -198,18 +194,13 @@ def asof_means(df: DataFrame, named: Mapping[str, tuple[str | Keys, str]], days:
     for attribute in attributes:
         daily[f"t_{attribute}"] = F.sum(attribute)
         daily[f"c_{attribute}"] = F.count(attribute)
-    wanted: dict[Keys, list[tuple[str, str]]] = {}
+    before = _before(days)
+    within = {f"m_{a}": f"sum(t_{a}) OVER {before} / nullif(sum(c_{a}) OVER {before}, 0)" for a in attributes}
+    features: dict[Keys, dict[str, str]] = {}
     for name, (keys, attribute) in named.items():
-        wanted.setdefault(as_keys(keys), []).append((name, attribute))
-    stats = keyed_stats(df if source is None else source, [(*keys, DAY) for keys in wanted], **daily)
-    for keys, pairs in wanted.items():
-        by_day = (*keys, DAY)
-        frame = _frame(keys, days)
-        means = stats.of(by_day).selectExpr(
-            *by_day, *[f"sum(t_{a}) OVER {frame} / nullif(sum(c_{a}) OVER {frame}, 0) AS {name}" for name, a in pairs]
-        )
-        df = attach(df, means, by_day, size=stats.sizes[by_day], hot=stats.hot_keys(by_day), spread_by=spread_by, bound=stats.limits)
-    return df
+        features.setdefault((*as_keys(keys), DAY), {})[name] = f"m_{attribute}"
+    stats = keyed_stats(df if source is None else source, features, within, (DAY,), **daily)
+    return attach_each(df, stats, features, spread_by=spread_by)
 
 
 def asof_first_appearance(df: DataFrame, named: Mapping[str, str], days: int | None = None, spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:

@@ -61,8 +61,18 @@ class KeyedStats:
         return self.of(keys, **{ROWS: ROWS}).where(f"{ROWS} > {self.limits.hot_rows}")
 
 
-def keyed_stats(df: DataFrame, key_sets: Iterable[str | Iterable[str]], **aggregates: Column) -> KeyedStats:
-    """Row count and ``aggregates`` for every key set, in one pass over ``df``."""
+def keyed_stats(
+    df: DataFrame,
+    key_sets: Iterable[str | Iterable[str]],
+    within: Mapping[str, str] | None = None,
+    apart: Sequence[str] = (),
+    **aggregates: Column,
+) -> KeyedStats:
+    """Row count and ``aggregates`` for every key set, in one pass over ``df``.
+
+    ``within`` adds window expressions over the aggregated rows, for all key sets in one shuffle. In
+    their text ``{keys}`` stands for the key columns other than those named in ``apart``.
+    """
     sets = list(dict.fromkeys(as_keys(k) for k in key_sets))
     columns = list(dict.fromkeys(c for keys in sets for c in keys))
     # grouping_id() has one bit per column, first column highest, set where the column is left out
@@ -74,6 +84,9 @@ def keyed_stats(df: DataFrame, key_sets: Iterable[str | Iterable[str]], **aggreg
         F.count("*").alias(ROWS),
         *[column.alias(name) for name, column in aggregates.items()],
     )
+    if within:
+        keys_text = ", ".join([_SET, *[c for c in columns if c not in apart]])
+        grouped = grouped.selectExpr("*", *[f"{text.format(keys=keys_text)} AS {name}" for name, text in within.items()])
     # rows of one set lie together, so reading one set skips the row groups of the others
     table = written(grouped, sort_by=_SET)
     bound = limits(df.sparkSession)
@@ -89,7 +102,7 @@ def keyed_stats(df: DataFrame, key_sets: Iterable[str | Iterable[str]], **aggreg
         set_ids=ids,
         sizes={keys: counted[i]["keys"] if i in counted else 0 for keys, i in ids.items()},
         hot={keys: counted[i]["hot"] if i in counted else 0 for keys, i in ids.items()},
-        values=(ROWS, *aggregates),
+        values=(ROWS, *aggregates, *(within or ())),
         limits=bound,
     )
 
