@@ -25,8 +25,9 @@ _PLACE = "place_"
 
 
 def ticks(df: DataFrame, keys: str | Keys, time: str = TIME, row_id: str = ROW_ID) -> DataFrame:
-    """Clicks per (keys, time), with the lowest and highest row id among them."""
-    return df.groupBy(*as_keys(keys), time).agg(
+    """Clicks per (keys, time), with the lowest and highest row id among them. A null key forms no group."""
+    keys = as_keys(keys)
+    return df.dropna(subset=[*keys, time]).groupBy(*keys, time).agg(
         F.count("*").alias(ROWS), F.min(row_id).alias("first_id"), F.max(row_id).alias("last_id")
     )
 
@@ -75,7 +76,7 @@ def place_features(
     keys = as_keys(keys)
     tick = ticks(df if source is None else source, keys, time, row_id)
     places = {_PLACE + name: column for name, column in _places(keys, time).items()}
-    placed = tick.dropna(subset=list(keys)).select(*keys, time, *[c.alias(n) for n, c in places.items()])
+    placed = tick.select(*keys, time, *[c.alias(n) for n, c in places.items()])
     attached = attach(df, placed, (*keys, time), hot=tick.select(*keys, time, ROWS), spread_by=spread_by)
     return attached.withColumns(dict(features)).drop(*places)
 
