@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import ngram_join
+from clickloom.llm import mixing, ngram_join, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": mixing.op1_mix_sources,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
 }
 
-SQL: dict[str, str] = {"op6_ngram_jaccard_join": ngram_join.OP6_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL}
