@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lattice, mixing, ngram_join, topk, toxicity
+from clickloom.llm import lattice, mixing, ngram_join, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_warc": warc.op5_warc,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op9_lattice_near_duplicates": lattice.op9_lattice_near_duplicates,
 }
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op7_exact_top_k": topk.OP7_SQL}
+SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op5_warc": warc.OP5_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op7_exact_top_k": topk.OP7_SQL}
