@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lattice, mixing, ngram_join, topk, toxicity, warc
+from clickloom.llm import lattice, mixing, ngram_join, pii, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": warc.op5_warc,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
     "op7_exact_top_k": topk.op7_exact_top_k,
+    "op8_personal_data": pii.op8_personal_data,
     "op9_lattice_near_duplicates": lattice.op9_lattice_near_duplicates,
 }
 
