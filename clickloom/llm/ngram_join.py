@@ -8,8 +8,8 @@ of the coordinate minima of two points bounds the overlap of their sets from abo
 2. Two linked sets share a shingle among the first ``n - ceil(0.8 n) + 1`` of each, in any fixed order;
    rarest first keeps common lines out. Texts meet in the bucket of such a shingle. A bucket that the
    counts show to be large is dealt out over pairs of blocks.
-3. Neighbours by size in each bucket are bounded and verified first. This ties groups of copies
-   together with few pairs.
+3. In each bucket the texts of about one size are first compared with one of them, the first by a hash of the
+   id. This ties groups of copies together with few pairs.
 4. Buckets that still hold more than one component get a tree over their points. It is joined with
    itself; pairs of nodes of one component, or whose bound is too low, are cut off. What is left is verified.
 
@@ -18,8 +18,9 @@ No link between different components is lost, and pairs inside a component are n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from itertools import chain, groupby
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from clickloom.llm.words import mixed, shingle_sets, slices, words_of
 from clickloom.session import written
 
 SHINGLE = 5
-GROUPS = 64
+GROUPS = 256
 #: Cells of hashes in which occurrences of shingles are counted; only the order of shingles depends on them.
 CELLS = 1 << 18
 #: A bucket counted to hold more texts than this is dealt out over pairs of blocks of about this size.
@@ -46,25 +47,30 @@ OVERLAP, SIZES = 9, 4
 
 
 def _described(shingle: int, cells: int) -> Callable:
-    """Size, signature and point of each set; at the end of a partition, its counts of cells as one row."""
+    """Size, signature and point of each set; at the end of a partition, its counts of cells as one row.
+
+    A point is one byte per group, the count in units rounded up, so that bounds stay bounds. The unit is 1
+    unless a group holds more than 255 shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(cells, dtype=np.int64)
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.list_(pa.int32())), ("seen", pa.list_(pa.int64()))]
+            [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("unit", pa.int64()), ("seen", pa.list_(pa.int64()))]
         )
         for batch in batches:
             for part in slices(batch, "text"):
-                n, s1, s2, points, all_cells = [], [], [], [], []
+                n, s1, s2, points, units, all_cells = [], [], [], [], [], []
                 for own in shingle_sets(words_of(part.column("text")), shingle):
                     n.append(len(own))
                     s1.append(int(np.sum(own, dtype=np.uint64).view(np.int64)))
                     s2.append(int(np.sum(mixed(own), dtype=np.uint64).view(np.int64)))
-                    points.append(np.bincount((own >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32))
+                    count = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                    units.append(max(1, -(-int(count.max()) // 255)))
+                    points.append((-(-count // units[-1])).astype(np.uint8).tobytes())
                     all_cells.append((own % np.uint64(cells)).astype(np.int64))
                 seen += np.bincount(np.concatenate(all_cells), minlength=cells)
-                flat = pa.ListArray.from_arrays(np.arange(0, (len(n) + 1) * GROUPS, GROUPS, dtype=np.int32), np.concatenate(points))
-                yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), flat, pa.nulls(len(n), schema.field("seen").type)], schema=schema)
+                yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.array(points, pa.binary()), pa.array(units), pa.nulls(len(n), schema.field("seen").type)], schema=schema)
         if seen.any():
             none = [pa.nulls(1, f.type) for f in schema][:-1]
             yield pa.record_batch([*none, pa.array([seen], schema.field("seen").type)], schema=schema)
@@ -185,28 +191,83 @@ class Tree:
                 work.append((level - 1, x[keep], y[keep]))
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(c.to_pylist() for c in batch.columns))
+def _points(point: pa.Array, unit: pa.Array) -> np.ndarray:
+    joined = b"".join(point.to_pylist())
+    return np.frombuffer(joined, dtype=np.uint8).reshape(-1, GROUPS).astype(np.int32) * unit.to_numpy()[:, None].astype(np.int32)
+
+
+def _pairs_of(table: pa.RecordBatch | pa.Table, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Surviving pairs of several whole buckets. Those that fit one leaf are joined together, by distance in the row order."""
+    if isinstance(table, pa.Table):
+        table = table.combine_chunks().to_batches()[0]
+    ids, sizes, comps = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
+    ends = np.append(starts[1:], table.num_rows)
+    # at most this many points are spread out at a time
+    for low in range(0, len(starts), 256):
+        high = min(low + 256, len(starts))
+        first, last = starts[low], ends[high - 1]
+        some = table.slice(first, last - first)
+        points = _points(some.column("point"), some.column("unit"))
+        own_sizes, own_comps, own_ids = sizes[first:last], comps[first:last], ids[first:last]
+        length = ends[low:high] - starts[low:high]
+        bucket = np.repeat(np.arange(high - low), length)
+        small = (length <= LEAF)[bucket]
+        for step in range(1, LEAF):
+            a = np.arange(len(own_ids) - step) if len(own_ids) > step else np.zeros(0, np.int64)
+            a = a[small[a] & (bucket[a] == bucket[a + step]) & (own_comps[a] != own_comps[a + step])]
+            if not len(a):
+                continue
+            bound = np.minimum(points[a], points[a + step]).sum(axis=1)
+            a = a[OVERLAP * bound >= SIZES * (own_sizes[a] + own_sizes[a + step])]
+            yield own_ids[a], own_ids[a + step]
+        for k in np.flatnonzero(length > LEAF):
+            x, y = starts[low + k] - first, ends[low + k] - first
+            tree = Tree(points[x:y], own_sizes[x:y], np.unique(own_comps[x:y], return_inverse=True)[1])
+            for a, b in tree.joined():
+                yield own_ids[x:y][a], own_ids[x:y][b]
 
 
 def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets arrive one after the other, so one is in memory at a time."""
-    for _, bucket in groupby(_rows(batches), key=lambda row: row[:2]):
-        _, _, ids, sizes, comps, points = zip(*bucket)
-        ids = np.array(ids)
-        tree = Tree(np.array(points, dtype=np.int64), np.array(sizes), np.unique(comps, return_inverse=True)[1])
-        for a, b in tree.joined():
-            yield pa.record_batch([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
+    """Buckets arrive one after the other, so no more than a batch and one bucket are in memory."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None and batch.num_rows == 0:
+            continue
+        if batch is not None:
+            held.append(batch)
+            newest = np.stack([batch.column("token").to_numpy(), batch.column("block").to_numpy()])
+            if len(held) > 1 and (newest[:, -1] == [held[0].column("token")[-1].as_py(), held[0].column("block")[-1].as_py()]).all():
+                continue
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = np.stack([table.column("token").to_numpy(), table.column("block").to_numpy()])
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        # the last bucket may go on in the next batch
+        cut = table.num_rows if batch is None else int(starts[-1])
+        held = table.slice(cut).combine_chunks().to_batches() if cut < table.num_rows else []
+        if cut:
+            found = [np.stack([np.minimum(a, b), np.maximum(a, b)]) for a, b in _pairs_of(table.slice(0, cut), starts[starts < cut]) if len(a)]
+            if found:
+                low, high = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.record_batch([pa.array(low), pa.array(high)], names=["a", "b"])
+
+
+def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        shared = np.minimum(_points(batch.column("pa"), batch.column("ua")), _points(batch.column("pb"), batch.column("ub"))).sum(axis=1)
+        n = batch.column("n").to_numpy()
+        yield batch.select(["a", "b", "n"]).filter(pa.array(OVERLAP * shared >= SIZES * n))
 
 
 def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Pairs of classes, once each, whose points allow a link."""
-    side = lambda name: reps.select(F.col("doc_id").alias(name), F.col("rep").alias(f"r{name}"), F.col("n").alias(f"n{name}"), F.col("point").alias(f"p{name}"))
+    side = lambda name: reps.select(F.col("doc_id").alias(name), F.col("rep").alias(f"r{name}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").where("ra != rb")
-    shared = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.where(OVERLAP * shared >= SIZES * (F.col("na") + F.col("nb")))
-    return pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"), (F.col("na") + F.col("nb")).alias("n")).distinct()
+    pairs = pairs.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+    point = lambda name: reps.where("doc_id = rep").select(F.col("rep").alias(name), F.col("n").alias(f"n{name}"), F.col("point").alias(f"p{name}"), F.col("unit").alias(f"u{name}"))
+    pairs = pairs.join(point("a"), "a").join(point("b"), "b").withColumn("n", F.col("na") + F.col("nb"))
+    return pairs.select("a", "b", "n", "pa", "ua", "pb", "ub").mapInArrow(_within_bound, "a long, b long, n long")
 
 
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
@@ -235,7 +296,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, cells: int = CEL
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = written(texts.mapInArrow(_described(shingle, cells), "doc_id long, n long, s1 long, s2 long, point array<int>, seen array<long>"))
+    described = written(texts.mapInArrow(_described(shingle, cells), "doc_id long, n long, s1 long, s2 long, point binary, unit long, seen array<long>"))
     # one row per cell, a fixed number
     seen = described.where("seen is not null").select(F.posexplode("seen").alias("cell", "k")).groupBy("cell").agg(F.sum("k").alias("k")).toPandas()
     counts = np.zeros(cells, dtype=np.int64)
@@ -244,24 +305,27 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, cells: int = CEL
 
     has_links = rows.where("n > 0 and doc_id is not null")
     classes = has_links.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = written(has_links.join(classes, ["n", "s1", "s2"]).select("doc_id", "rep", "n", "point").distinct())
+    reps = written(has_links.join(classes, ["n", "s1", "s2"]).select("doc_id", "rep", "n", "point", "unit").distinct())
 
     found = texts.mapInArrow(_entries(shingle, cells, block, spark.sparkContext.broadcast(counts)), "token long, block long, doc_id long, n long")
-    by_size = Window.partitionBy("token", "block").orderBy("n", "doc_id")
-    met = found.withColumns({"before": F.lag("doc_id").over(by_size), "n_before": F.lag("n").over(by_size), "after": F.lead("doc_id").over(by_size)})
-    met = written(met.where("before is not null or after is not null").select("token", "block", "doc_id", "n", "before", "n_before"))
-
-    near = met.where("before is not null and 5 * n_before >= 4 * n").select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # texts of one size class, a power of 1.25, may be linked; the class and the hash give every bucket the same order
+    found = found.withColumns({"kind": F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)), "turn": F.xxhash64("doc_id")})
+    whole = Window.partitionBy("token", "block").orderBy("kind", "turn", "doc_id")
+    alike = Window.partitionBy("token", "block", "kind").orderBy("turn", "doc_id")
+    met = found.withColumns({"before": F.lag("doc_id").over(whole), "after": F.lead("doc_id").over(whole), "leader": F.first("doc_id").over(alike)})
+    met = written(met.where("before is not null or after is not null").select("token", "block", "doc_id", "leader"))
+
+    near = met.where("leader != doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     same = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = written(_verified(spark, texts, _bounded(near, reps), shingle).unionByName(same))
     found_so_far = components(links)
 
-    labelled = reps.join(found_so_far, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", "n", "point", F.coalesce("component", "rep").alias("comp"))
+    labelled = reps.join(found_so_far, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", "n", "point", "unit", F.coalesce("component", "rep").alias("comp"))
     in_bucket = met.select("token", "block", "doc_id").join(labelled.select("doc_id", "rep", "comp"), "doc_id")
     mixed_buckets = in_bucket.groupBy("token", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "block")
     open_rows = in_bucket.join(mixed_buckets, ["token", "block"], "left_semi").select("token", "block", "rep").distinct()
-    points = labelled.where("doc_id = rep").select("rep", "n", "comp", "point").distinct()
-    open_rows = written(open_rows.join(points, "rep").select("token", "block", "rep", "n", "comp", "point"))
+    points = labelled.where("doc_id = rep").select("rep", "n", "comp", "point", "unit")
+    open_rows = written(open_rows.join(points, "rep").select("token", "block", "rep", "n", "comp", "point", "unit"))
     dealt = open_rows.repartition("token", "block").sortWithinPartitions("token", "block")
     left_over = dealt.mapInArrow(_tree_pairs, "a long, b long").distinct()
     more = _verified(spark, texts, _bounded(left_over, reps), shingle)
