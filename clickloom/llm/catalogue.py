@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lattice, mixing, ngram_join, pii, topk, toxicity, warc
+from clickloom.llm import lattice, mixing, ngram_join, pieces, pii, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
     "op6_ngram_jaccard_join": ngram_join.op6_ngram_jaccard_join,
