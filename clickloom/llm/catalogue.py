@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lattice, mixing, ngram_join, pieces, pii, topk, toxicity, warc
+from clickloom.llm import lattice, mixing, ngram_join, pagetext, pieces, pii, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_top_k": topk.op7_exact_top_k,
     "op8_personal_data": pii.op8_personal_data,
     "op9_lattice_near_duplicates": lattice.op9_lattice_near_duplicates,
+    "op10_page_text": pagetext.op10_page_text,
 }
 
 SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op5_warc": warc.OP5_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op7_exact_top_k": topk.OP7_SQL}
