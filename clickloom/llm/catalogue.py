@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lattice, mixing, ngram_join, pagetext, pieces, pii, topk, toxicity, warc
+from clickloom.llm import lattice, mixing, ngram_join, pagetext, pieces, pii, repeats, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_repeated_passages": repeats.op2_repeated_passages,
     "op3_sentencepiece": pieces.op3_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_warc": warc.op5_warc,
@@ -20,4 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_page_text": pagetext.op10_page_text,
 }
 
-SQL: dict[str, str] = {"op1_mix_sources": mixing.OP1_SQL, "op5_warc": warc.OP5_SQL, "op6_ngram_jaccard_join": ngram_join.OP6_SQL, "op7_exact_top_k": topk.OP7_SQL}
+SQL: dict[str, str] = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op2_repeated_passages": repeats.OP2_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op6_ngram_jaccard_join": ngram_join.OP6_SQL,
+    "op7_exact_top_k": topk.OP7_SQL,
+}
