@@ -56,7 +56,7 @@ def _described(shingle: int, cells: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(cells, dtype=np.int64)
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("unit", pa.int64()), ("seen", pa.list_(pa.int64()))]
+            [("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("unit", pa.int64()), ("seen", pa.list_(pa.int32()))]
         )
         for batch in batches:
             for part in slices(batch, "text"):
@@ -73,7 +73,7 @@ def _described(shingle: int, cells: int) -> Callable:
                 yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(s1), pa.array(s2), pa.array(points, pa.binary()), pa.array(units), pa.nulls(len(n), schema.field("seen").type)], schema=schema)
         if seen.any():
             none = [pa.nulls(1, f.type) for f in schema][:-1]
-            yield pa.record_batch([*none, pa.array([seen], schema.field("seen").type)], schema=schema)
+            yield pa.record_batch([*none, pa.array([seen.astype(np.int32)], schema.field("seen").type)], schema=schema)
 
     return run
 
@@ -102,13 +102,14 @@ def _entries(shingle: int, cells: int, block: int, counts) -> Callable:
                     often = seen[(own % np.uint64(cells)).astype(np.int64)]
                     first = np.lexsort((own, often))[: prefix_length(len(own))]
                     blocks = np.maximum(1, -((usual - often[first]) // block))
-                    token, dealt = own[first], np.zeros(len(first), dtype=np.int64)
+                    token, dealt, place = own[first], np.zeros(len(first), dtype=np.int64), np.arange(len(first))
                     if blocks.max() > 1:
                         token, dealt = _over_blocks(token, blocks, doc)
-                    out.append((token, dealt, np.full(len(token), doc), np.full(len(token), len(own))))
+                        place = np.repeat(place, blocks)
+                    out.append((token, dealt, np.full(len(token), doc), np.full(len(token), len(own)), place))
                 if out:
-                    token, dealt, docs, sizes = (np.concatenate(x) for x in zip(*out))
-                    yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(dealt), pa.array(docs), pa.array(sizes)], names=["token", "block", "doc_id", "n"])
+                    token, dealt, docs, sizes, places = (np.concatenate(x) for x in zip(*out))
+                    yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(dealt), pa.array(docs), pa.array((sizes << 32) | places)], names=["token", "block", "doc_id", "n_at"])
 
     return run
 
@@ -152,18 +153,22 @@ def _hit_bits(bits: int) -> Callable:
 
 
 class Tree:
-    """Points packed into boxes of boxes, with the smallest size and the only component (-1: several) of each."""
+    """Points packed into boxes of boxes, with the smallest size, the only component (-1: several) and the most that is left of each.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray):
+    A linked pair meets in the bucket of its first common shingle, where the overlap is at most what is left of each set
+    from there on; so pairs may be cut off by that in every bucket.
+    """
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, comps: np.ndarray, left: np.ndarray):
         spread = np.argsort(-points.var(axis=0), kind="stable")[:2]
         self.order = np.lexsort((*points[:, spread].T, comps, sizes // np.maximum(1, sizes.max() // 64)))
-        points, sizes, comps = points[self.order], sizes[self.order], comps[self.order]
-        self.levels = [(points, sizes, comps)]
+        points, sizes, comps, left = points[self.order], sizes[self.order], comps[self.order], left[self.order]
+        self.levels = [(points, sizes, comps, left)]
         while len(self.levels[-1][1]) > 1:
-            points, sizes, comps = self.levels[-1]
+            points, sizes, comps, left = self.levels[-1]
             at = np.arange(0, len(sizes), LEAF)
             low = np.minimum.reduceat(comps, at)
-            self.levels.append((np.maximum.reduceat(points, at), np.minimum.reduceat(sizes, at), np.where(low == np.maximum.reduceat(comps, at), low, -1)))
+            self.levels.append((np.maximum.reduceat(points, at), np.minimum.reduceat(sizes, at), np.where(low == np.maximum.reduceat(comps, at), low, -1), np.maximum.reduceat(left, at)))
 
     def joined(self, most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of different components whose bound allows a link; at most ``most`` pairs of nodes are open at once."""
@@ -171,9 +176,11 @@ class Tree:
         work = [(top, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
         while work:
             level, a, b = work.pop()
-            points, sizes, comps = self.levels[level]
+            points, sizes, comps, left = self.levels[level]
             keep = ((comps[a] != comps[b]) | (comps[a] < 0)) & ((a != b) | (level > 0))
             a, b = a[keep], b[keep]
+            keep = OVERLAP * np.minimum(left[a], left[b]) >= SIZES * (sizes[a] + sizes[b])
+            a, b = a[keep], b[keep]
             bound = np.minimum(points[a], points[b]).sum(axis=1)
             keep = OVERLAP * bound >= SIZES * (sizes[a] + sizes[b])
             a, b = a[keep], b[keep]
@@ -200,7 +207,8 @@ def _pairs_of(table: pa.RecordBatch | pa.Table, starts: np.ndarray) -> Iterator[
     """Surviving pairs of several whole buckets. Those that fit one leaf are joined together, by distance in the row order."""
     if isinstance(table, pa.Table):
         table = table.combine_chunks().to_batches()[0]
-    ids, sizes, comps = (table.column(c).to_numpy() for c in ("rep", "n", "comp"))
+    ids, sizes, comps, at = (table.column(c).to_numpy() for c in ("rep", "n", "comp", "at"))
+    left = sizes - at
     ends = np.append(starts[1:], table.num_rows)
     # at most this many points are spread out at a time
     for low in range(0, len(starts), 256):
@@ -208,13 +216,14 @@ def _pairs_of(table: pa.RecordBatch | pa.Table, starts: np.ndarray) -> Iterator[
         first, last = starts[low], ends[high - 1]
         some = table.slice(first, last - first)
         points = _points(some.column("point"), some.column("unit"))
-        own_sizes, own_comps, own_ids = sizes[first:last], comps[first:last], ids[first:last]
+        own_sizes, own_comps, own_ids, own_left = sizes[first:last], comps[first:last], ids[first:last], left[first:last]
         length = ends[low:high] - starts[low:high]
         bucket = np.repeat(np.arange(high - low), length)
         small = (length <= LEAF)[bucket]
         for step in range(1, LEAF):
             a = np.arange(len(own_ids) - step) if len(own_ids) > step else np.zeros(0, np.int64)
             a = a[small[a] & (bucket[a] == bucket[a + step]) & (own_comps[a] != own_comps[a + step])]
+            a = a[OVERLAP * np.minimum(own_left[a], own_left[a + step]) >= SIZES * (own_sizes[a] + own_sizes[a + step])]
             if not len(a):
                 continue
             bound = np.minimum(points[a], points[a + step]).sum(axis=1)
@@ -222,7 +231,7 @@ def _pairs_of(table: pa.RecordBatch | pa.Table, starts: np.ndarray) -> Iterator[
             yield own_ids[a], own_ids[a + step]
         for k in np.flatnonzero(length > LEAF):
             x, y = starts[low + k] - first, ends[low + k] - first
-            tree = Tree(points[x:y], own_sizes[x:y], np.unique(own_comps[x:y], return_inverse=True)[1])
+            tree = Tree(points[x:y], own_sizes[x:y], np.unique(own_comps[x:y], return_inverse=True)[1], own_left[x:y])
             for a, b in tree.joined():
                 yield own_ids[x:y][a], own_ids[x:y][b]
 
@@ -253,6 +262,13 @@ def _tree_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array(low), pa.array(high)], names=["a", "b"])
 
 
+def _may_be_first(x: str, y: str):
+    """Whether a pair whose first common shingle stands at these places can still overlap enough: what is left of both sets bounds it."""
+    n = lambda c: F.shiftright(c, 32)
+    left = lambda c: n(c) - F.shiftrightunsigned(F.shiftleft(c, 32), 32)
+    return OVERLAP * F.least(left(x), left(y)) >= SIZES * (n(x) + n(y))
+
+
 def _within_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared = np.minimum(_points(batch.column("pa"), batch.column("ua")), _points(batch.column("pb"), batch.column("ub"))).sum(axis=1)
@@ -270,15 +286,19 @@ def _bounded(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "n", "pa", "ua", "pb", "ub").mapInArrow(_within_bound, "a long, b long, n long")
 
 
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A filter of ids: FILTER_BITS bits, whatever their number."""
+    bits = ids.mapInArrow(_hit_bits(FILTER_BITS), "bit long").distinct().toArrow()["bit"].to_numpy()
+    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
+    return bitmap
+
+
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """The pairs whose sets overlap enough. Sets are computed anew from the texts of the pairs' classes only."""
     pairs = written(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # at most FILTER_BITS numbers, whatever the number of texts
-    bits = ids.mapInArrow(_hit_bits(FILTER_BITS), "bit long").distinct().toPandas()["bit"].to_numpy()
-    bitmap = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    np.bitwise_or.at(bitmap, bits >> 3, (1 << (bits & 7)).astype(np.uint8))
-    wanted = spark.sparkContext.broadcast(bitmap)
+    wanted = spark.sparkContext.broadcast(_bitmap(ids))
     sets = texts.mapInArrow(_sets(shingle, FILTER_BITS, wanted), "doc_id long, shingles array<long>")
     sets = written(sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left")), "a")
@@ -296,36 +316,41 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, cells: int = CEL
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    described = written(texts.mapInArrow(_described(shingle, cells), "doc_id long, n long, s1 long, s2 long, point binary, unit long, seen array<long>"))
+    described = written(texts.mapInArrow(_described(shingle, cells), "doc_id long, n long, s1 long, s2 long, point binary, unit long, seen array<int>"))
     # one row per cell, a fixed number
-    seen = described.where("seen is not null").select(F.posexplode("seen").alias("cell", "k")).groupBy("cell").agg(F.sum("k").alias("k")).toPandas()
-    counts = np.zeros(cells, dtype=np.int64)
-    counts[seen["cell"].to_numpy(dtype=np.int64)] = seen["k"].to_numpy(dtype=np.int64)
+    seen = described.where("seen is not null").select(F.posexplode("seen").alias("cell", "k")).groupBy("cell").agg(F.sum("k").alias("k")).toArrow()
+    cell, times = seen["cell"].to_numpy(), seen["k"].to_numpy()
+    counts = np.zeros(cells, dtype=np.int64 if times.max(initial=0) >= 1 << 31 else np.int32)
+    counts[cell] = times
     rows = described.where("seen is null").drop("seen")
 
     has_links = rows.where("n > 0 and doc_id is not null")
     classes = has_links.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = written(has_links.join(classes, ["n", "s1", "s2"]).select("doc_id", "rep", "n", "point", "unit").distinct())
 
-    found = texts.mapInArrow(_entries(shingle, cells, block, spark.sparkContext.broadcast(counts)), "token long, block long, doc_id long, n long")
-    # texts of one size class, a power of 1.25, may be linked; the class and the hash give every bucket the same order
-    found = found.withColumns({"kind": F.floor(F.log(F.col("n").cast("double")) / math.log(1.25)), "turn": F.xxhash64("doc_id")})
-    whole = Window.partitionBy("token", "block").orderBy("kind", "turn", "doc_id")
-    alike = Window.partitionBy("token", "block", "kind").orderBy("turn", "doc_id")
-    met = found.withColumns({"before": F.lag("doc_id").over(whole), "after": F.lead("doc_id").over(whole), "leader": F.first("doc_id").over(alike)})
-    met = written(met.where("before is not null or after is not null").select("token", "block", "doc_id", "leader"))
-
-    near = met.where("leader != doc_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # size and place in the prefix share a number, as there are very many of these rows
+    found = texts.mapInArrow(_entries(shingle, cells, block, spark.sparkContext.broadcast(counts)), "token long, block long, doc_id long, n_at long")
+    # texts of one size class, a power of 1.25, may be linked; classes and ids give every bucket the same order
+    kind = F.floor(F.log(F.shiftright("n_at", 32).cast("double")) / math.log(1.25))
+    whole = Window.partitionBy("token", "block").orderBy("kind", "doc_id")
+    alike = Window.partitionBy("token", "block", "kind").orderBy("doc_id")
+    met = found.withColumn("kind", kind).withColumns(
+        {"before": F.lag("doc_id").over(whole), "after": F.lead("doc_id").over(whole), "leader": F.first("doc_id").over(alike), "leader_at": F.first("n_at").over(alike)}
+    )
+    met = written(met.where("before is not null or after is not null").select("token", "block", "doc_id", "n_at", "leader", "leader_at"))
+
+    near = met.where("leader != doc_id").where(_may_be_first("n_at", "leader_at")).select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     same = reps.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = written(_verified(spark, texts, _bounded(near, reps), shingle).unionByName(same))
     found_so_far = components(links)
 
     labelled = reps.join(found_so_far, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", "n", "point", "unit", F.coalesce("component", "rep").alias("comp"))
-    in_bucket = met.select("token", "block", "doc_id").join(labelled.select("doc_id", "rep", "comp"), "doc_id")
-    mixed_buckets = in_bucket.groupBy("token", "block").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("token", "block")
-    open_rows = in_bucket.join(mixed_buckets, ["token", "block"], "left_semi").select("token", "block", "rep").distinct()
+    bucket = Window.partitionBy("token", "block")
+    in_bucket = met.select("token", "block", "doc_id", "n_at").join(labelled.select("doc_id", "rep", "comp"), "doc_id")
+    spread = in_bucket.withColumns({"low": F.min("comp").over(bucket), "high": F.max("comp").over(bucket)}).where("low != high")
+    open_rows = spread.select("token", "block", "rep", F.shiftrightunsigned(F.shiftleft("n_at", 32), 32).alias("at")).distinct()
     points = labelled.where("doc_id = rep").select("rep", "n", "comp", "point", "unit")
-    open_rows = written(open_rows.join(points, "rep").select("token", "block", "rep", "n", "comp", "point", "unit"))
+    open_rows = written(open_rows.join(points, "rep").select("token", "block", "rep", "at", "n", "comp", "point", "unit"))
     dealt = open_rows.repartition("token", "block").sortWithinPartitions("token", "block")
     left_over = dealt.mapInArrow(_tree_pairs, "a long, b long").distinct()
     more = _verified(spark, texts, _bounded(left_over, reps), shingle)
