@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.window import Window
 
 from clickloom.llm.graph import components
@@ -294,6 +295,21 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     return bitmap
 
 
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose ``doc_id`` is one of ``ids`` (one column of longs). Only rows that a filter of the ids lets through are shuffled."""
+    spark = docs.sparkSession
+    wanted = spark.sparkContext.broadcast(_bitmap(ids))
+
+    def named(doc: pa.Array) -> pa.Array:
+        bit = (mixed(doc.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+        return pa.array(((wanted.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1).astype(bool))
+
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    rows = rows.withColumn("named", arrow_udf(named, "boolean").asNondeterministic()("id"))
+    left = rows.where("named").join(ids.toDF("id"), "id", "left_anti")
+    return rows.where("not named").select("row.*").unionByName(left.select("row.*"))
+
+
 def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """The pairs whose sets overlap enough. Sets are computed anew from the texts of the pairs' classes only."""
     pairs = written(pairs)
@@ -360,6 +376,19 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, cells: int = CEL
     return known.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the smallest id of each group of linked texts, one row of each id; rows with a null id stay."""
+    groups = written(jaccard_components(docs))
+    kept = without_ids(docs, groups.where("component_id != doc_id").select("doc_id").distinct())
+    repeated = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi")
+    order = Window.partitionBy("id").orderBy(F.col("row.text"))
+    rows = again.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id")).withColumn("_turn", F.row_number().over(order))
+    return without_ids(kept, repeated).unionByName(rows.where("_turn = 1").select("row.*"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
