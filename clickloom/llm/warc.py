@@ -22,6 +22,8 @@ from clickloom.session import shared_folder, written
 
 LEAST_REVISIT = 100
 PIECE = 1 << 20
+#: Tasks that archives are dealt out to for reading; each may read several.
+MOST_TASKS = 10_000
 MAGIC = b"\x1f\x8b\x08"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -243,7 +245,9 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
     Each record's digests are checked against its bytes. A revisit has no payload of its own; its length and digest are those of the payload it repeats.
     """
-    return manifest.select("archive").repartition("archive").mapInArrow(_reader(payloads), RECORD)
+    # an archive is much work for so small a row, so that rows must not be put together by their size
+    tasks = min(manifest.count(), MOST_TASKS)
+    return manifest.select("archive").repartition(max(1, tasks), "archive").mapInArrow(_reader(payloads), RECORD)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
