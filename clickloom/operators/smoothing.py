@@ -35,6 +35,8 @@ class Prior:
     beta: float | None
     steps: int
     converged: bool
+    #: The pooled rate, where keys differ no more than by chance and the prior would be infinitely strong.
+    pooled: float | None = None
 
 
 def smoothed_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys], alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
@@ -134,13 +136,16 @@ def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_step
 
     Newton steps where the likelihood is concave; a step that leaves the positive quadrant or does
     not raise the likelihood is replaced by the fixed-point step, which always raises it. ``compat`` uses fixed-point steps
-    only, from (1, 1), as capped by ``max_steps``.
+    only, from (1, 1), as capped by ``max_steps``. Without a finite maximum ``alpha`` and ``beta`` are none, and ``pooled`` is
+    the rate over all impressions, if there are any.
     """
     empty = (np.zeros(0), np.zeros(0))
     (iv, ik), (cv, ck), (mv, mk) = (histogram.get(kind, empty) for kind in "ICM")
+    shown = float(np.sum(iv * ik))
+    pooled = float(np.sum(cv * ck)) / shown if shown else None
     if float(np.sum(iv * ik)) == 0 or float(np.sum(cv * ck)) == 0 or float(np.sum(mv * mk)) == 0:
         # no impressions, no conversions or no misses: the likelihood has no finite maximum
-        return Prior(None, None, 0, False)
+        return Prior(None, None, 0, False, pooled)
 
     def residual(a: float, b: float) -> tuple[float, float, float, float, float]:
         whole = _gain(iv, ik, a + b)
@@ -169,7 +174,7 @@ def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_step
             return Prior(float(alpha), float(beta), step, True)
         alpha, beta = new
         if not np.isfinite(alpha + beta) or alpha + beta > 1e12:
-            return Prior(None, None, step, False)
+            return Prior(None, None, step, False, pooled)
     return Prior(float(alpha), float(beta), max_steps, False)
 
 
@@ -194,12 +199,12 @@ def fit_beta_prior(df: DataFrame, keys: str | Keys, max_steps: int = 200, epsilo
 
 
 def smoothed_cvr_fitted(his: DataFrame, now: DataFrame, key: str | Keys, max_steps: int = 200, compat: bool = False) -> DataFrame:
-    """``I``, ``C`` and ``<key>_buy_smooth`` with a prior fitted to the history; unfittable: the raw rate."""
+    """``I``, ``C`` and ``<key>_buy_smooth`` with a prior fitted to the history; keys without spread all get the pooled rate."""
     prior = fit_beta_prior(his, key, max_steps=max_steps, compat=compat)
     name = key_name(key)
     now = history_cvr(his, now, [key])
     if prior.alpha is None:
-        rate = F.col(f"{name}_cvr")
+        rate = F.lit(prior.pooled).cast("double")
     else:
         rate = smoothed(F.col(f"{name}_buy"), F.col(f"{name}_sum"), prior.alpha, prior.beta)
     return now.withColumn(f"{name}_buy_smooth", rate).withColumnsRenamed({f"{name}_sum": "I", f"{name}_buy": "C"}).drop(f"{name}_cvr")
