@@ -47,9 +47,9 @@ SCORES = T.StructType([T.StructField("instance_id", _LONG), T.StructField("predi
 
 
 def read_click_log(spark: SparkSession, path: str, labelled: bool = True) -> DataFrame:
-    """Read a text log with a fixed schema; files of unlabelled rows end one column earlier."""
+    """Read a text log with a fixed schema; files of unlabelled rows end one column earlier. A header of other names is an error."""
     schema = CLICK_LOG if labelled else T.StructType(CLICK_LOG.fields[:-1])
-    return spark.read.schema(schema).option("sep", " ").option("header", True).csv(path)
+    return spark.read.schema(schema).option("sep", " ").option("header", True).option("enforceSchema", False).csv(path)
 
 
 def write_click_log(df: DataFrame, path: str) -> None:
