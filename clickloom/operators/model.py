@@ -58,18 +58,30 @@ def fit(train: DataFrame, columns: Sequence[str], booster: Booster) -> GBTClassi
     return _classifier(booster).fit(assembled(train, columns))
 
 
-def fit_early_stop(train: DataFrame, held_out: DataFrame, columns: Sequence[str], booster: Booster, tolerance: float = 0.01) -> GBTClassificationModel:
-    """Stop adding trees once the held-out error no longer falls."""
-    marked = assembled(train.withColumn("held_out", F.lit(False)), columns, ["held_out"]).unionByName(
-        assembled(held_out.withColumn("held_out", F.lit(True)), columns, ["held_out"])
-    )
-    classifier = _classifier(booster).setValidationIndicatorCol("held_out")
-    return classifier.setParams(validationTol=tolerance).fit(marked)
+def best_rounds(losses: Sequence[float], patience: int = 30) -> int:
+    """The number of rounds with the least loss, looking no further than ``patience`` rounds past it."""
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
+def early_stop_rounds(train: DataFrame, held_out: DataFrame, columns: Sequence[str], booster: Booster, patience: int = 30) -> int:
+    """How many of the booster's rounds serve the held-out rows best."""
+    return best_rounds(fit(train, columns, booster).evaluateEachIteration(assembled(held_out, columns)), patience)
+
+
+def fit_early_stop(train: DataFrame, held_out: DataFrame, columns: Sequence[str], booster: Booster, patience: int = 30) -> GBTClassificationModel:
+    """A model with as many trees as serve the held-out rows best."""
+    return fit(train, columns, replace(booster, rounds=early_stop_rounds(train, held_out, columns, booster, patience)))
 
 
 def fit_refit(train: DataFrame, held_out: DataFrame, everything: DataFrame, columns: Sequence[str], booster: Booster) -> tuple[GBTClassificationModel, int]:
     """Find the number of rounds on a held-out part, then fit all labelled rows with that many."""
-    rounds = fit_early_stop(train, held_out, columns, booster).getNumTrees
+    rounds = early_stop_rounds(train, held_out, columns, booster)
     return fit(everything, columns, replace(booster, rounds=rounds)), rounds
 
 

@@ -1,11 +1,13 @@
 """Hot keys: the split join gives the plain join's rows, and really splits."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from clickloom.operators import counts, history, ordered
+from clickloom.operators import counts, history, model, ordered
 from clickloom.operators.keyed import attach, keyed_stats
 from clickloom.operators.smoothing import digamma, solve_prior, trigamma
+from clickloom.sources import click_log
 
 
 def skewed_log(spark):
@@ -68,7 +70,37 @@ def test_prior_fit_recovers_a_planted_prior():
 
 def test_prior_without_a_maximum():
     none = {"I": (np.array([5.0]), np.array([3.0])), "C": (np.array([0.0]), np.array([3.0])), "M": (np.array([5.0]), np.array([3.0]))}
-    assert solve_prior(none).alpha is None
+    assert solve_prior(none).alpha is None and solve_prior(none).pooled == 0.0
+
+
+def test_prior_of_keys_without_spread_is_the_pooled_rate():
+    even = {"I": (np.array([10.0]), np.array([50.0])), "C": (np.array([2.0]), np.array([50.0])), "M": (np.array([8.0]), np.array([50.0]))}
+    prior = solve_prior(even)
+    # infinitely strong, or so strong that a key's own counts no longer matter
+    rate = prior.pooled if prior.alpha is None else prior.alpha / (prior.alpha + prior.beta)
+    assert abs(rate - 0.2) < 1e-6 and (prior.alpha is None or prior.alpha > 1e6)
+
+
+def test_best_rounds_have_patience():
+    assert model.best_rounds([3.0, 2.0, 2.5, 1.0, 1.5]) == 4
+    assert model.best_rounds([3.0, 2.0, 2.5, 2.4, 1.0], patience=2) == 2
+
+
+def test_early_stop_keeps_rounds_that_still_help(spark):
+    i = F.col("id")
+    rows = spark.range(600).select(i.alias("instance_id"), (i % 10).alias("x"), ((i % 10 > 5) != (i % 13 == 0)).cast("int").alias("is_trade"))
+    booster = model.Booster(rounds=5, depth=2, rate=0.02)
+    assert model.early_stop_rounds(rows.where("instance_id < 400"), rows.where("instance_id >= 400"), ["x"], booster) == 5
+
+
+def test_a_header_of_other_names_is_an_error(spark, tmp_path):
+    names = [f.name for f in click_log.CLICK_LOG.fields]
+    swapped = [{"user_id": "item_id", "item_id": "user_id"}.get(n, n) for n in names]
+    for name, header in (("good", names), ("bad", swapped)):
+        (tmp_path / name).write_text(" ".join(header) + "\n" + " ".join("1" for _ in names) + "\n")
+    assert click_log.read_click_log(spark, str(tmp_path / "good")).count() == 1
+    with pytest.raises(Exception, match="user_id"):
+        click_log.read_click_log(spark, str(tmp_path / "bad")).collect()
 
 
 def test_digamma_values():
