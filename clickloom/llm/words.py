@@ -11,6 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: Rows and bytes of a batch handed to a Python worker, for columns of whole texts. A longer text is a batch of its own.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 #: Bytes of text worked on at a time. The arrays below take about 60 times as much; one longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
@@ -23,6 +27,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Set ``BATCH`` for this session where it has no setting of its own; the executors' buffers stay as small."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every input bit reaches every output bit."""
     x = x.astype(np.uint64, copy=True)
