@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clickloom.llm import mixing, ngram_join, pieces, pii, toxicity
+from clickloom.llm.words import small_batches
 from clickloom.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that the model trained on the table of labels scores below 0.5 stay; null and empty texts score 0."""
+    small_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select(F.struct("*").alias("row"), toxicity.toxicity(spark, model, "text").alias("tox"))
     return rows.where("tox.score < 0.5").select("row.*")
@@ -24,11 +26,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts linked by a similarity of 0.8 the one with the smallest id stays."""
+    small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the text become their kind in brackets; ``n_chars`` is counted anew. A null text stays null."""
+    small_batches(spark)
     hidden = docs.withColumn("text", pii.masked(spark, pii.train(docs)))
     return hidden.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -40,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of the pieces of each text."""
+    small_batches(spark)
     own = docs.select("doc_id", "lang", "source", pieces.coded(spark, pieces.load(), decoded=False).alias("own"))
     return own.select("doc_id", "lang", "source", F.size("own.ids").cast("long").alias("n_ids"), F.col("own.ids").alias("ids"))
 
