@@ -25,8 +25,8 @@ def log_loss(df: DataFrame, label: str = LABEL, score: str = SCORE) -> DataFrame
 
 
 def classification_report(df: DataFrame, label: str = LABEL, predicted: str = "prediction") -> DataFrame:
-    """Precision, recall, F1 and support per class, from one grouped count of (label, prediction)."""
-    pairs = df.groupBy(F.col(label).cast("int").alias("y"), F.col(predicted).cast("int").alias("z")).agg(F.count("*").alias("n"))
+    """Precision, recall, F1 and support per class, from one grouped count of (label, prediction). Rows without a known label don't count."""
+    pairs = df.where(F.col(label) >= 0).groupBy(F.col(label).cast("int").alias("y"), F.col(predicted).cast("int").alias("z")).agg(F.count("*").alias("n"))
     # each pair adds to the support of its label and to the predictions of its prediction
     sides = pairs.select(
         F.inline(
@@ -100,8 +100,14 @@ def cvr_by_minute(df: DataFrame, day: int, hour: int) -> DataFrame:
 def dominant_category(df: DataFrame, key: str = "item_id", category: str = "user_occupation_id") -> DataFrame:
     """The most frequent category per key and its count; the smallest one wins a tie."""
     pairs = df.groupBy(key, category).agg(F.count("*").alias("n"))
-    best = F.max(F.struct(F.col("n").alias("n"), (-F.col(category)).alias("c")))
-    return pairs.groupBy(key).agg(best.alias("best")).select(key, F.col("best.n").alias("max_count"), (-F.col("best.c")).alias("dominant"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col(category).isNull().alias("none"), F.col(category).alias("c")))
+    return pairs.groupBy(key).agg(best.alias("best")).select(key, (-F.col("best.n")).alias("max_count"), F.col("best.c").alias("dominant"))
+
+
+def positive_means(df: DataFrame, key: str, columns: Sequence[str], label: str = LABEL) -> DataFrame:
+    """Means of the columns over each key's buying rows, ``<key>_buy_<column>_mean``; null for a key that never bought."""
+    bought = F.col(label) == 1
+    return df.groupBy(key).agg(*[F.avg(F.when(bought, F.col(c))).alias(f"{key}_buy_{c}_mean") for c in columns])
 
 
 def log_profile(df: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL
 from clickloom.operators import metrics
+from clickloom.session import written
 
 FEATURES = "features"
 
@@ -32,9 +33,10 @@ class Booster:
 
 
 def assembled(df: DataFrame, columns: Sequence[str], keep: Iterable[str] = ()) -> DataFrame:
-    """Feature vector of ``columns`` as doubles, nulls as -1."""
+    """Feature vector of ``columns``: numbers as doubles, nulls as -1, and vectors as they are."""
+    kinds = dict(df.dtypes)
     kept = [c for c in dict.fromkeys([metrics.ID, LABEL, *keep]) if c in df.columns]
-    doubles = [F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(f"f_{c}") for c in columns]
+    doubles = [(F.col(c) if kinds[c] == "vector" else F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).alias(f"f_{c}") for c in columns]
     vectors = VectorAssembler(inputCols=[f"f_{c}" for c in columns], outputCol=FEATURES)
     return vectors.transform(df.select(*kept, *doubles)).select(*kept, FEATURES)
 
@@ -101,7 +103,7 @@ def importance(model: GBTClassificationModel, columns: Sequence[str], spark, top
 
 def cross_validate(df: DataFrame, columns: Sequence[str], booster: Booster, folds: int = 5) -> list[float]:
     """Log loss of each fold; a row's fold is a fixed function of its id."""
-    vectors = assembled(df.where(F.col(LABEL) >= 0), columns).withColumn("fold", F.pmod(F.xxhash64(metrics.ID), F.lit(folds)))
+    vectors = written(assembled(df.where(F.col(LABEL) >= 0), columns).withColumn("fold", F.pmod(F.xxhash64(metrics.ID), F.lit(folds))))
     losses = []
     for fold in range(folds):
         model = _classifier(booster).fit(vectors.where(F.col("fold") != fold))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 from clickloom.functions import parsing, timing
 from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, smoothing
 from clickloom.plans import final_stage, first_stage, presets, rolling_stage
-from clickloom.session import shared_folder
+from clickloom.session import shared_folder, written
 from clickloom.sources import click_log
 from clickloom.sources.adapters import events_log, raw_events_log, star_log
 
@@ -533,6 +534,12 @@ def one_hot(spark, sf_dir):
     return added(encode.one_hot(his, now, presets.ROLLING_ONE_HOT)[1], now)
 
 
+@query
+def label_encode(spark, sf_dir):
+    his, now = split(spark, sf_dir)
+    return added(encode.label_encode(his, now, ["item_city_id", "item_property_list"])[1], now)
+
+
 # ---- metrics and scores ----------------------------------------------------------------------
 
 
@@ -541,6 +548,11 @@ def dominant_category(spark, sf_dir):
     return result(metrics.dominant_category(events_log(spark, sf_dir)))
 
 
+@query
+def positive_means(spark, sf_dir):
+    return result(metrics.positive_means(events_log(spark, sf_dir), "item_id", ["user_age_level", "shop_score_service"]))
+
+
 @query
 def value_counts(spark, sf_dir):
     return result(metrics.value_counts(scored(events_log(spark, sf_dir)), "prediction"))
@@ -642,26 +654,28 @@ def star_asof_cvr(spark, sf_dir):
 
 # ---- models ----------------------------------------------------------------------------------
 
-QUICK = model.Booster(rounds=3, depth=3, rate=0.1)
+BOOSTER = presets.SMALL_BOOSTER
+#: One fit of the greedy selection, which makes up to n * (n + 1) / 2 of them for n columns.
+TRIAL = model.Booster(rounds=3, depth=3, rate=0.1)
 MODEL_COLUMNS = ["item_id_cvr", "user_id_cvr", "item_price_level", "item_sales_level", "user_age_level", "hour"]
 
 
 def model_table(spark, sf_dir):
     """Labelled rows with as-of rates, over the whole log."""
-    return history.asof_cvr(assembled(spark, sf_dir), ["item_id", "user_id"])
+    return written(history.asof_cvr(assembled(spark, sf_dir), ["item_id", "user_id"]))
 
 
 @query
 def train_score_gbt(spark, sf_dir):
     train, test = prepare.label_split(model_table(spark, sf_dir))
-    return model.score(model.fit(train, MODEL_COLUMNS, QUICK), test, MODEL_COLUMNS)
+    return model.score(model.fit(train, MODEL_COLUMNS, BOOSTER), test, MODEL_COLUMNS)
 
 
 @query
 def train_early_stop(spark, sf_dir):
     known, test = prepare.label_split(model_table(spark, sf_dir))
     train, held_out = prepare.hour_split(known, 17)
-    fitted = model.fit_early_stop(train, held_out, MODEL_COLUMNS, QUICK)
+    fitted = model.fit_early_stop(train, held_out, MODEL_COLUMNS, BOOSTER)
     return model.score(fitted, test, MODEL_COLUMNS)
 
 
@@ -669,52 +683,55 @@ def train_early_stop(spark, sf_dir):
 def train_refit(spark, sf_dir):
     known, test = prepare.label_split(model_table(spark, sf_dir))
     train, held_out = prepare.day_split(known, 0, 27)
-    fitted, rounds = model.fit_refit(train, held_out, known, MODEL_COLUMNS, QUICK)
+    fitted, rounds = model.fit_refit(train, held_out, known, MODEL_COLUMNS, BOOSTER)
     return model.score(fitted, test, MODEL_COLUMNS).withColumn("rounds", F.lit(rounds))
 
 
 @query
 def transfer_score(spark, sf_dir):
-    return first_stage.transfer_scores(assembled(spark, sf_dir), TARGET, QUICK)
+    return first_stage.transfer_scores(assembled(spark, sf_dir), TARGET, BOOSTER)
+
+
+@query
+def rolling_scores(spark, sf_dir):
+    scores, rounds = rolling_stage.run(events_log(spark, sf_dir), ROLLING_TARGETS, BOOSTER)
+    return scores.withColumn("rounds", F.lit(rounds))
 
 
 @query
 def cross_validate(spark, sf_dir):
-    losses = model.cross_validate(model_table(spark, sf_dir), MODEL_COLUMNS, QUICK)
+    losses = model.cross_validate(model_table(spark, sf_dir), MODEL_COLUMNS, BOOSTER)
     return spark.createDataFrame(list(enumerate(losses)), "fold int, log_loss double")
 
 
 @query
 def feature_importance(spark, sf_dir):
     train, _ = prepare.label_split(model_table(spark, sf_dir))
-    return model.importance(model.fit(train, MODEL_COLUMNS, QUICK), MODEL_COLUMNS, spark)
+    return model.importance(model.fit(train, MODEL_COLUMNS, BOOSTER), MODEL_COLUMNS, spark)
 
 
 @query
 def greedy_select(spark, sf_dir):
     known, _ = prepare.label_split(model_table(spark, sf_dir))
     train, test = prepare.day_split(known, 0, 27)
-    chosen = model.greedy_select(train, test, MODEL_COLUMNS[:4], QUICK, passes=1)
+    chosen = model.greedy_select(train, test, MODEL_COLUMNS, TRIAL)
     return spark.createDataFrame(list(enumerate(chosen)), "position int, feature string")
 
 
 @query
 def blended_experiment(spark, sf_dir):
     train, test = prepare.label_split(model_table(spark, sf_dir))
-    boosters = [QUICK, model.Booster(rounds=2, depth=5, rate=0.1)]
+    boosters = [BOOSTER, replace(BOOSTER, depth=3)]
     return model.run_experiment(train, test, MODEL_COLUMNS, boosters, [0.5, 0.5])
 
 
 @query
 def final_stage_scores(spark, sf_dir):
     log = assembled(spark, sf_dir)
-    # the transferred score comes from a model of the earlier days
-    train, now = prepare.day_split(model_table(spark, sf_dir), 1, TARGET)
-    known, _ = prepare.label_split(train)
-    transferred = model.score(model.fit(known, MODEL_COLUMNS, QUICK), now, MODEL_COLUMNS).select("instance_id", "predicted_score")
+    transferred = written(first_stage.transfer_scores(log, TARGET, BOOSTER).select("instance_id", "predicted_score"))
     # half of the target day keeps its labels, as the final run trains on the day itself
     raw = events_log(spark, sf_dir).select("instance_id", F.col("is_trade").alias("known"))
     labelled = log.join(raw, "instance_id").withColumn(
         "is_trade", F.when((F.col("day_idx") == TARGET) & (F.col("hour") < 12), F.col("known")).otherwise(F.col("is_trade"))
     )
-    return final_stage.run(labelled.drop("known"), TARGET, transferred, QUICK)
+    return final_stage.run(labelled.drop("known"), TARGET, transferred, BOOSTER)

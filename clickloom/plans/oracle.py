@@ -394,8 +394,8 @@ def statements() -> dict[str, str]:
     sql["read_click_log"] = select([plain(c) for c in raw_columns], "raw_log", RAW)
     sql["stage_roundtrip"] = select([plain(c) for c in ("instance_id", "day_idx", "hour", "user_id", "item_id", "cate_1", "is_trade")], "log")
     sql["write_scores"] = select(["instance_id", real("one", "predicted_score")], "scored", LOG + SCORED.format(source="log"))
-    values = ", ".join(f"({i}, '{name}')" for i, name in enumerate(raw_columns))
-    sql["feature_catalog"] = f"SELECT CAST(position AS BIGINT) AS position, feature FROM (VALUES {values}) v(position, feature)"
+    known = [f"SELECT CAST({i} AS BIGINT) AS position, '{name}' AS feature, CAST(count({name}) AS BIGINT) AS n_known FROM raw_log" for i, name in enumerate(raw_columns)]
+    sql["feature_catalog"] = f"WITH {RAW}\n" + "\nUNION ALL ".join(known)
     sql["log_profile"] = select(
         [
             big("count(*)", "n_rows"), big("(SELECT count(*) FROM (SELECT DISTINCT * FROM raw_log))", "n_distinct"),
@@ -599,7 +599,16 @@ SELECT r.instance_id, round(coalesce(CAST(h AS DOUBLE) / n, 0), 6) AS pro_pre_ra
     hot += [big(f"CASE WHEN user_occupation_id = {v} THEN 1 ELSE 0 END", f"user_occupation_id{v}") for v in range(4)]
     sql["one_hot"] = select(["instance_id", *hot], NOW)
 
+    sql["label_encode"] = f"""WITH {LOG},
+cities AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT item_city_id AS v FROM log WHERE day_idx < {TARGET})),
+lists AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT item_property_list AS v FROM log WHERE day_idx < {TARGET}))
+SELECT instance_id, c.code AS item_city_id_code, l.code AS item_property_list_code FROM log
+LEFT JOIN cities c ON c.v = item_city_id LEFT JOIN lists l ON l.v = item_property_list WHERE day_idx = {TARGET}"""
+
     # metrics and scores
+    sql["positive_means"] = f"""WITH {LOG}
+SELECT CAST(item_id AS BIGINT) AS item_id, round(avg(user_age_level) FILTER (is_trade = 1), 6) AS item_id_buy_user_age_level_mean,
+  round(avg(shop_score_service) FILTER (is_trade = 1), 6) AS item_id_buy_shop_score_service_mean FROM log GROUP BY item_id"""
     log_scored, assembled_scored = LOG + SCORED.format(source="log"), ASSEMBLED + SCORED.format(source="assembled")
     sql["dominant_category"] = f"""WITH {LOG},
 pairs AS (SELECT item_id, user_occupation_id AS c, count(*) AS n FROM log GROUP BY ALL),

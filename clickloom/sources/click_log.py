@@ -87,9 +87,8 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feature_catalog(df: DataFrame, exclude: frozenset[str] = frozenset()) -> DataFrame:
-    """One row per column name: position and name."""
+    """One row per column: position, name and how many rows have a value (``n_known``)."""
     names = [c for c in df.columns if c not in exclude]
-    return (
-        df.sparkSession.range(1)
-        .select(F.posexplode(F.array(*[F.lit(n) for n in names])).alias("position", "feature"))
-    )
+    known = df.agg(*[F.count(c).alias(c) for c in names])
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.col(c).alias("n_known")) for i, c in enumerate(names)])
+    return known.select(F.inline(rows))

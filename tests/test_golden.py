@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clickloom.functions import parsing, timing
-from clickloom.operators import counts, encode, history, metrics, ordered, prepare, smoothing
+from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, smoothing
 
 
 def column(df, name, by="instance_id"):
@@ -121,8 +121,33 @@ def test_one_hot_uses_the_training_vocabulary(spark):
     other = spark.createDataFrame([(2, 2), (3, 7)], "instance_id long, g int")
     _, coded = encode.one_hot(train, other, ["g"])
     assert coded.columns == ["instance_id", "g", "g2"] and column(coded, "g2") == [1, 0]
-    with pytest.raises(ValueError):
-        encode.vocabulary(spark.range(20), "id", max_values=10)
+
+
+def test_one_hot_of_many_values_is_a_sparse_vector(spark):
+    train = spark.range(5_000).selectExpr("id AS instance_id", "concat('v', id % 2500) AS g")
+    other = spark.createDataFrame([(1, "v0"), (2, "unseen"), (3, None)], "instance_id long, g string")
+    first, coded = encode.one_hot(train, other, ["g"])
+    assert first.count() == 5_000
+    rows = {r.instance_id: r.g_onehot for r in coded.collect()}
+    assert {v.size for v in rows.values()} == {2_500}
+    assert rows[1].indices.tolist() == [0] and rows[2].numNonzeros() == rows[3].numNonzeros() == 0
+    assert model.assembled(coded, ["instance_id", "g_onehot"]).first()["features"].size == 2_501
+
+
+def test_label_codes_follow_the_order_of_the_values(spark):
+    train = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "b")], "instance_id long, g string")
+    other = spark.createDataFrame([(5, "b"), (6, "c"), (7, None)], "instance_id long, g string")
+    first, coded = encode.label_encode(train, other, ["g"])
+    assert {r.instance_id: r.g_code for r in first.collect()} == {1: 1, 2: 0, 3: None, 4: 1}
+    assert {r.instance_id: r.g_code for r in coded.collect()} == {5: 1, 6: None, 7: None}
+
+
+def test_dominant_category_of_texts_and_unlabelled_rows_in_the_report(spark):
+    df = spark.createDataFrame([(1, "y"), (1, "x"), (2, "z"), (2, None), (2, None)], "item_id long, c string")
+    got = {r.item_id: (r.max_count, r.dominant) for r in metrics.dominant_category(df, category="c").collect()}
+    assert got == {1: (1, "x"), 2: (2, None)}
+    scored = spark.createDataFrame([(1, 1), (0, 1), (-1, 1), (-2, 0)], "is_trade int, prediction int")
+    assert {r.label: r.support for r in metrics.classification_report(scored).collect()} == {0: 1, 1: 1}
 
 
 def test_transferred_score_keeps_the_rows(spark):
