@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import lattice, mixing, ngram_join, pagetext, pieces, pii, repeats, topk, toxicity, warc
+from clickloom.llm import lattice, mixing, ngram_join, pagetext, periods, pieces, pii, repeats, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": pii.op8_personal_data,
     "op9_lattice_near_duplicates": lattice.op9_lattice_near_duplicates,
     "op10_page_text": pagetext.op10_page_text,
+    "op11_periodic_runs": periods.op11_periodic_runs,
 }
 
 SQL: dict[str, str] = {
