@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clickloom.llm import alignment, lattice, mixing, ngram_join, pagetext, periods, pieces, pii, repeats, topk, toxicity, warc
+from clickloom.llm import alignment, langid, lattice, mixing, ngram_join, pagetext, periods, pieces, pii, repeats, topk, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lattice_near_duplicates": lattice.op9_lattice_near_duplicates,
     "op10_page_text": pagetext.op10_page_text,
     "op11_periodic_runs": periods.op11_periodic_runs,
+    "op12_language": langid.op12_language,
     "op13_token_alignment": alignment.op13_token_alignment,
 }
 
