@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import replace
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -13,25 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL
-from clickloom.operators import metrics
+from clickloom.operators import metrics, prepare
+from clickloom.operators.boosting import MARGIN, BoostedTrees, Booster, boost
+from clickloom.operators.boosting import probability as of_margin
 from clickloom.session import written
 
 FEATURES = "features"
 
 
-@dataclass(frozen=True)
-class Booster:
-    """Boosting parameters. ``min_rows`` is the least number of rows in a leaf."""
-
-    rounds: int
-    depth: int
-    rate: float
-    row_share: float = 1.0
-    column_share: float = 1.0
-    min_rows: int = 1
-    seed: int = 2018
-
-
 def assembled(df: DataFrame, columns: Sequence[str], keep: Iterable[str] = ()) -> DataFrame:
     """Feature vector of ``columns``: numbers as doubles, nulls as -1, and vectors as they are."""
     kinds = dict(df.dtypes)
@@ -60,44 +49,37 @@ def fit(train: DataFrame, columns: Sequence[str], booster: Booster) -> GBTClassi
     return _classifier(booster).fit(assembled(train, columns))
 
 
-def best_rounds(losses: Sequence[float], patience: int = 30) -> int:
-    """The number of rounds with the least loss, looking no further than ``patience`` rounds past it."""
-    best = 0
-    for at, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = at
-        elif at - best >= patience:
-            break
-    return best + 1
-
-
-def early_stop_rounds(train: DataFrame, held_out: DataFrame, columns: Sequence[str], booster: Booster, patience: int = 30) -> int:
-    """How many of the booster's rounds serve the held-out rows best."""
-    return best_rounds(fit(train, columns, booster).evaluateEachIteration(assembled(held_out, columns)), patience)
-
+def fit_early_stop(train: DataFrame, held_out: DataFrame, columns: Sequence[str], booster: Booster, patience: int = 30, folder: str | None = None) -> BoostedTrees:
+    """A model with as many trees as serve the held-out rows best, out of at most ``booster.rounds``.
 
-def fit_early_stop(train: DataFrame, held_out: DataFrame, columns: Sequence[str], booster: Booster, patience: int = 30) -> GBTClassificationModel:
-    """A model with as many trees as serve the held-out rows best."""
-    return fit(train, columns, replace(booster, rounds=early_stop_rounds(train, held_out, columns, booster, patience)))
+    Boosting stops ``patience`` rounds after the best one, and its first trees are the model: nothing is fitted twice.
+    With a ``folder`` the run resumes from its last chunk there.
+    """
+    return boost(assembled(train, columns), booster, assembled(held_out, columns), patience, folder=folder)
 
 
-def fit_refit(train: DataFrame, held_out: DataFrame, everything: DataFrame, columns: Sequence[str], booster: Booster) -> tuple[GBTClassificationModel, int]:
+def fit_refit(train: DataFrame, held_out: DataFrame, everything: DataFrame, columns: Sequence[str], booster: Booster, patience: int = 30) -> tuple[BoostedTrees, int]:
     """Find the number of rounds on a held-out part, then fit all labelled rows with that many."""
-    rounds = early_stop_rounds(train, held_out, columns, booster)
-    return fit(everything, columns, replace(booster, rounds=rounds)), rounds
+    rounds = len(fit_early_stop(train, held_out, columns, booster, patience).trees)
+    return boost(assembled(everything, columns), replace(booster, rounds=rounds)), rounds
 
 
-def score(model: GBTClassificationModel, df: DataFrame, columns: Sequence[str], keep: Iterable[str] = ()) -> DataFrame:
+def score(model: GBTClassificationModel | BoostedTrees, df: DataFrame, columns: Sequence[str], keep: Iterable[str] = ()) -> DataFrame:
     """``instance_id``, ``predicted_score`` (probability of a purchase) and the predicted class."""
     kept = [c for c in dict.fromkeys([metrics.ID, LABEL, *keep]) if c in df.columns]
-    scored = model.transform(assembled(df, columns, keep))
+    vectors = assembled(df, columns, keep)
+    if isinstance(model, BoostedTrees):
+        bought = of_margin(F.col(MARGIN))
+        return model.margins(vectors).select(*kept, bought.alias(metrics.SCORE), (bought > 0.5).cast("int").alias("prediction"))
+    scored = model.transform(vectors)
     probability = F.get(vector_to_array("probability"), F.lit(1))
     return scored.select(*kept, probability.alias(metrics.SCORE), F.col("prediction").cast("int").alias("prediction"))
 
 
-def importance(model: GBTClassificationModel, columns: Sequence[str], spark, top: int | None = None) -> DataFrame:
+def importance(model: GBTClassificationModel | BoostedTrees, columns: Sequence[str], spark, top: int | None = None) -> DataFrame:
     """Feature importances, largest first: one row per model column."""
-    pairs = sorted(zip(columns, model.featureImportances.toArray().tolist()), key=lambda pair: (-pair[1], pair[0]))
+    shares = model.importances() if isinstance(model, BoostedTrees) else model.featureImportances.toArray().tolist()
+    pairs = sorted(zip(columns, shares), key=lambda pair: (-pair[1], pair[0]))
     return spark.createDataFrame(pairs[:top], "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
@@ -137,7 +119,23 @@ def greedy_select(train: DataFrame, test: DataFrame, columns: Sequence[str], boo
     return accepted
 
 
+def score_files(train: DataFrame, test: DataFrame, columns: Sequence[str], boosters: Sequence[Booster]) -> list[DataFrame]:
+    """One model per parameter set, fitted on ``train``, and its scores of ``test``."""
+    return [score(fit(train, columns, booster), test, columns) for booster in boosters]
+
+
 def run_experiment(train: DataFrame, test: DataFrame, columns: Sequence[str], boosters: Sequence[Booster], weights: Sequence[float] | None = None) -> DataFrame:
     """Fit one model per parameter set, score the test rows with each and blend the scores."""
-    files = [score(fit(train, columns, booster), test, columns) for booster in boosters]
-    return metrics.blend_scores(files, weights)
+    return metrics.blend_scores(score_files(train, test, columns, boosters), weights)
+
+
+def day_experiment(df: DataFrame, start: int, end: int, columns: Sequence[str], boosters: tuple[Booster, Booster]) -> DataFrame:
+    """Two models of days ``[start, end)`` on the labelled rows of day ``end``: id, label and both scores (``one``, ``two``), written."""
+    train, test = prepare.day_split(prepare.label_split(df)[0], start, end)
+    files = [metrics.unique_scores(file).withColumnRenamed(metrics.SCORE, name) for file, name in zip(score_files(train, test, columns, boosters), ("one", "two"))]
+    return written(test.select(metrics.ID, LABEL).join(files[0], metrics.ID).join(files[1], metrics.ID))
+
+
+def experiment_losses(scored: DataFrame, weights: Sequence[float] = tuple(i / 10 for i in range(1, 10))) -> DataFrame:
+    """Log loss of each weight of the first score, from both alone (1 and 0) to all of ``weights``, in one pass."""
+    return metrics.blend_sweep(scored, "one", "two", weights=[1.0, *weights, 0.0])

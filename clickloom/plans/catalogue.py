@@ -675,7 +675,7 @@ def train_score_gbt(spark, sf_dir):
 def train_early_stop(spark, sf_dir):
     known, test = prepare.label_split(model_table(spark, sf_dir))
     train, held_out = prepare.hour_split(known, 17)
-    fitted = model.fit_early_stop(train, held_out, MODEL_COLUMNS, BOOSTER)
+    fitted = model.fit_early_stop(train, held_out, MODEL_COLUMNS, presets.OFFLINE_BOOSTER)
     return model.score(fitted, test, MODEL_COLUMNS)
 
 
@@ -694,7 +694,7 @@ def transfer_score(spark, sf_dir):
 
 @query
 def rolling_scores(spark, sf_dir):
-    scores, rounds = rolling_stage.run(events_log(spark, sf_dir), ROLLING_TARGETS, BOOSTER)
+    scores, rounds = rolling_stage.run(events_log(spark, sf_dir), ROLLING_TARGETS)
     return scores.withColumn("rounds", F.lit(rounds))
 
 
@@ -725,6 +725,28 @@ def blended_experiment(spark, sf_dir):
     return model.run_experiment(train, test, MODEL_COLUMNS, boosters, [0.5, 0.5])
 
 
+@query
+def experiment_report(spark, sf_dir):
+    """Two boosters on a day split: the log loss of each (weights 1 and 0) and of their blends."""
+    scored = model.day_experiment(model_table(spark, sf_dir), 0, 27, MODEL_COLUMNS, (BOOSTER, presets.SECOND_BOOSTER))
+    return result(model.experiment_losses(scored), ["weight", "log_loss"], ids=())
+
+
+def offline_run(spark, sf_dir):
+    log = events_log(spark, sf_dir)
+    return final_stage.offline(log, TARGET, score_file(log.where(F.col("day_idx") == TARGET), "one"), look_ahead=False)
+
+
+@query
+def offline_report(spark, sf_dir):
+    return result(offline_run(spark, sf_dir).report())
+
+
+@query
+def offline_importance(spark, sf_dir):
+    return result(offline_run(spark, sf_dir).importance(), ["feature", "importance"], ids=())
+
+
 @query
 def final_stage_scores(spark, sf_dir):
     log = assembled(spark, sf_dir)

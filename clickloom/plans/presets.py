@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from clickloom.operators.model import Booster
+from clickloom.operators.boosting import Booster
 
 USER_LEVELS = ("user_gender_id", "user_age_level", "user_occupation_id", "user_star_level")
 ITEM_LEVELS = ("item_brand_id", "item_price_level", "item_sales_level", "item_collected_level", "item_pv_level")
@@ -220,3 +220,5 @@ TRANSFER_BOOSTER = Booster(rounds=1304, depth=5, rate=0.02, column_share=0.7)
 OFFLINE_BOOSTER = Booster(rounds=10_000, depth=5, rate=0.02, row_share=0.8, column_share=0.9)
 ROLLING_BOOSTER = Booster(rounds=100_000, depth=5, rate=0.02, column_share=0.7, min_rows=100)
 SMALL_BOOSTER = Booster(rounds=110, depth=4, rate=0.1)
+# the second model of the day experiment
+SECOND_BOOSTER = Booster(rounds=97, depth=5, rate=0.1)

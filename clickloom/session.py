@@ -56,14 +56,46 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, partition_by: str | None = None, sort_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder as Parquet and read it back.
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as the session's own readers and writers see them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _hadoop(spark, path)
+    return files.exists(at)
+
+
+def removed(table: DataFrame | str, spark: SparkSession | None = None) -> bool:
+    """Remove a table that :func:`written` wrote, or a folder below the shared folder, once nothing reads it any more.
+
+    Anything outside the shared folder stays, and so does a table with lineage of its own.
+    """
+    if isinstance(table, DataFrame):
+        spark = table.sparkSession
+        folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+        # the folders of a table partitioned by a column lie below its own
+        folders = {folder if "=" not in folder.rsplit("/", 1)[1] else folder.rsplit("/", 1)[0] for folder in folders}
+    else:
+        folders = {table}
+    own = shared_folder(spark).split(":", 1)[-1].lstrip("/") + "/clickloom/"
+    gone = False
+    for folder in folders:
+        if own in folder:
+            files, at = _hadoop(spark, folder)
+            gone = files.delete(at, True) or gone
+    return gone
+
+
+def written(df: DataFrame, partition_by: str | None = None, sort_by: str | None = None, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder (or ``path``) as Parquet and read it back.
 
     This cuts the lineage, outlives lost executors, and lets later readers prune columns, partitions
     and (where ``sort_by`` orders the rows of each file) row groups; an RDD checkpoint does not.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/clickloom/{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/clickloom/{uuid.uuid4().hex}"
     schema = df.schema
     if sort_by:
         df = df.sortWithinPartitions(sort_by)
