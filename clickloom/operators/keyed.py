@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,8 +117,9 @@ def attach(
     hot: DataFrame | None = None,
     spread_by: Sequence[str] = ("instance_id",),
     bound: Limits | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
-    """Left-join ``stats`` (one row per key) to ``df``.
+    """Left-join ``stats`` (one row per key) to ``df``. ``null_safe`` lets null keys meet; otherwise they match nothing.
 
     ``size`` is the counted number of rows of ``stats``, if known. ``hot`` lists keys of ``df`` with
     their row counts in ``n_rows``; it may be lazy, and may hold only keys above ``hot_rows``.
@@ -126,20 +128,28 @@ def attach(
     on = list(as_keys(on))
     bound = bound or limits(df.sparkSession)
     if size is not None and size <= bound.broadcast_rows:
-        return df.join(F.broadcast(stats), on, "left")
+        return _joined(df, F.broadcast(stats), on, null_safe)
     if hot is None:
-        return df.join(stats, on, "left")
-    return _salted(df, stats, on, hot, bound.hot_rows, spread_by)
+        return _joined(df, stats, on, null_safe)
+    return _salted(df, stats, on, hot, bound.hot_rows, spread_by, null_safe)
 
 
-def _salted(df: DataFrame, stats: DataFrame, on: list[str], hot: DataFrame, hot_rows: int, spread_by: Sequence[str]) -> DataFrame:
+def _joined(df: DataFrame, other: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return df.join(other, on, "left")
+    named = {key: f"_other_{key}" for key in on}
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(name)) for key, name in named.items()])
+    return df.join(other.withColumnsRenamed(named), same, "left").drop(*named.values())
+
+
+def _salted(df: DataFrame, stats: DataFrame, on: list[str], hot: DataFrame, hot_rows: int, spread_by: Sequence[str], null_safe: bool = False) -> DataFrame:
     # at most rows / hot_rows keys pass the filter, so this list is safe to broadcast
     parts = F.broadcast(
         hot.where(F.col(ROWS) > hot_rows).select(*on, F.ceil(F.col(ROWS) / hot_rows).cast("int").alias(_PARTS))
     )
     spread = F.xxhash64(*spread_by)
     no_key = F.lit(False)
-    for key in on:
+    for key in () if null_safe else on:
         no_key = no_key | F.col(key).isNull()
     salt = (
         F.when(F.col(_PARTS).isNotNull(), F.pmod(spread, F.col(_PARTS)))
@@ -148,13 +158,13 @@ def _salted(df: DataFrame, stats: DataFrame, on: list[str], hot: DataFrame, hot_
         .otherwise(F.lit(0))
         .cast("int")
     )
-    salted_rows = df.join(parts, on, "left").withColumn(_SALT, salt).drop(_PARTS)
+    salted_rows = _joined(df, parts, on, null_safe).withColumn(_SALT, salt).drop(_PARTS)
     salted_stats = (
-        stats.join(parts, on, "left")
+        _joined(stats, parts, on, null_safe)
         .withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(_PARTS), F.lit(1)) - 1)))
         .drop(_PARTS)
     )
-    return salted_rows.join(salted_stats, [*on, _SALT], "left").drop(_SALT)
+    return _joined(salted_rows, salted_stats, [*on, _SALT], null_safe).drop(_SALT)
 
 
 def attach_each(

@@ -266,10 +266,7 @@ def heat_distinct_daily(spark, sf_dir):
 
 def _placed(spark, sf_dir, families, log=None):
     log = events_log(spark, sf_dir) if log is None else log
-    df = log
-    for keys, features in families.items():
-        df = ordered.place_features(df, keys, features, source=log)
-    return added(df, log)
+    return added(ordered.place_families(log, families), log)
 
 
 USER_DAY = ("user_id", "day_idx")
@@ -382,8 +379,7 @@ def distinct_time_rank(spark, sf_dir):
 @query
 def rank_ratio(spark, sf_dir):
     log = by_hour(events_log(spark, sf_dir))
-    df = ordered.place_features(log, "user_id", ordered.distinct_time_rank("time_rank"), source=log)
-    df = ordered.place_features(df, ("user_id", "shop_id"), ordered.distinct_time_rank("shop_time_rank"), source=log)
+    df = ordered.place_families(log, {"user_id": ordered.distinct_time_rank("time_rank"), ("user_id", "shop_id"): ordered.distinct_time_rank("shop_time_rank")})
     return added(ordered.rank_ratios(df, {"shop_count_user_click_rate": "shop_time_rank"}), log)
 
 

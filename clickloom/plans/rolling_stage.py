@@ -21,8 +21,11 @@ def prepared(log: DataFrame) -> DataFrame:
 
 def today_features(df: DataFrame, source: DataFrame) -> DataFrame:
     day = ("user_id", "day_idx")
-    df = ordered.place_features(df, day, {**ordered.average_rank("today_time_rank"), **ordered.is_last("all_last_click")}, source=source)
-    df = ordered.place_features(df, (*day, "item_id"), {**ordered.last_minus_first("last_click"), **ordered.is_first("first_click")}, source=source)
+    families = {
+        day: {**ordered.average_rank("today_time_rank"), **ordered.is_last("all_last_click")},
+        (*day, "item_id"): {**ordered.last_minus_first("last_click"), **ordered.is_first("first_click")},
+    }
+    df = ordered.place_families(df, families, source=source)
     return counts.attach_target_counts(df, presets.ROLLING_COUNTS, source=source)
 
 
