@@ -13,12 +13,21 @@ def labelled(label: str = LABEL) -> Column:
     return F.col(label).isin(0, 1)
 
 
+def is_known(label: str = LABEL) -> Column:
+    """1 on rows with a known outcome, 0 on the others."""
+    return F.when(labelled(label), F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+
+def is_bought(label: str = LABEL) -> Column:
+    return F.when(F.col(label) == 1, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
+
+
 def known_rows(label: str = LABEL) -> Column:
     return F.count(F.when(labelled(label), F.lit(1)))
 
 
 def buys(label: str = LABEL) -> Column:
-    return F.coalesce(F.sum(F.when(F.col(label) == 1, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("bigint")
+    return F.coalesce(F.sum(is_bought(label)), F.lit(0))
 
 
 def ratio(top: Column, bottom: Column) -> Column:

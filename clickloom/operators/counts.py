@@ -27,7 +27,7 @@ def attach_counts(df: DataFrame, named_keys: Mapping[str, str | Keys], spread_by
 def attach_target_counts(df: DataFrame, named: Mapping[str, tuple[str | Keys, str]], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """Non-null values of a target per key set: a new column maps to (keys, target)."""
     targets = dict.fromkeys(target for _, target in named.values())
-    stats = keyed_stats(df if source is None else source, [keys for keys, _ in named.values()], **{f"n_{t}": F.count(t) for t in targets})
+    stats = keyed_stats(df if source is None else source, [keys for keys, _ in named.values()], **{f"n_{t}": F.col(t).isNotNull().cast("bigint") for t in targets})
     features: dict[Keys, dict[str, str]] = {}
     for name, (keys, target) in named.items():
         features.setdefault(as_keys(keys), {})[name] = f"n_{target}"

@@ -1,6 +1,7 @@
 """Conversion rates and means over earlier days.
 
-Two forms. The split form aggregates a history table and attaches it to the current day. The as-of
+Two forms. The split form aggregates a history table and attaches it to the current day (``source`` is
+that day's log where ``now`` has been widened since; it spares a second run of the wide plan). The as-of
 form serves every day at once: the log is reduced to one row per (key, day), and a range frame over
 the days ending at -1 gives each day the sum of what came before it. A row's own day is never in its
 history, and test rows (labels -1 and -2) never count as outcomes.
@@ -13,7 +14,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clickloom.functions.rates import LABEL, buys, known_rows
+from clickloom.functions.rates import LABEL, is_bought, is_known
 from clickloom.operators.keyed import ROWS, Keys, KeyedStats, as_keys, attach, attach_each, keyed_stats
 
 DAY = "day_idx"
@@ -26,7 +27,7 @@ def key_name(keys: str | Keys) -> str:
 
 
 def outcome_stats(his: DataFrame, key_sets: Iterable[str | Keys], **more: Column) -> KeyedStats:
-    return keyed_stats(his, key_sets, **{SEEN: known_rows(), BOUGHT: buys(), **more})
+    return keyed_stats(his, key_sets, **{SEEN: is_known(), BOUGHT: is_bought(), **more})
 
 
 def _derived(df: DataFrame, features: Mapping[str, Column], drop: Iterable[str]) -> DataFrame:
@@ -39,22 +40,22 @@ def _counted_rows(now: DataFrame, key_sets: Sequence[Keys], his: KeyedStats) ->
     return keyed_stats(now, large) if large else None
 
 
-def _attach_history(now: DataFrame, his: KeyedStats, features: Mapping[Keys, Mapping[str, str]], spread_by: Sequence[str]) -> DataFrame:
-    rows = _counted_rows(now, list(features), his)
+def _attach_history(now: DataFrame, his: KeyedStats, features: Mapping[Keys, Mapping[str, str]], spread_by: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    rows = _counted_rows(now if source is None else source, list(features), his)
     for keys, named in features.items():
         hot = rows.hot_keys(keys) if rows is not None and keys in rows.hot else None
         now = attach(now, his.of(keys, **named), keys, size=his.sizes[keys], hot=hot, spread_by=spread_by, bound=his.limits)
     return now
 
 
-def history_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys], spread_by: Sequence[str] = _ROW_KEY) -> DataFrame:
+def history_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """``<keys>_sum``, ``_buy`` and ``_cvr`` from the labelled history rows; null for unseen keys."""
     key_sets = [as_keys(k) for k in key_sets]
     # a key seen only in unlabelled rows has no history
     his = his.where(F.col(LABEL).isin(0, 1))
     stats = outcome_stats(his, key_sets)
     named = {keys: {f"{key_name(keys)}_sum": SEEN, f"{key_name(keys)}_buy": BOUGHT} for keys in key_sets}
-    now = _attach_history(now, stats, named, spread_by)
+    now = _attach_history(now, stats, named, spread_by, source)
     rates = {}
     for keys in key_sets:
         name = key_name(keys)
@@ -62,12 +63,12 @@ def history_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys],
     return now.withColumns(rates)
 
 
-def rate_features(his: DataFrame, now: DataFrame, named_keys: Mapping[str, str | Keys], fill: float = 1.0, spread_by: Sequence[str] = _ROW_KEY) -> DataFrame:
+def rate_features(his: DataFrame, now: DataFrame, named_keys: Mapping[str, str | Keys], fill: float = 1.0, spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """``<name>_count``, ``_sum`` and ``_rate``; an unseen key gets rate ``fill`` and counts 0."""
     his = his.where(F.col(LABEL).isin(0, 1))
     stats = outcome_stats(his, named_keys.values())
     features = {as_keys(keys): {f"{name}_count": SEEN, f"{name}_sum": BOUGHT} for name, keys in named_keys.items()}
-    now = _attach_history(now, stats, features, spread_by)
+    now = _attach_history(now, stats, features, spread_by, source)
     return now.withColumns(_filled_rates(named_keys, fill))
 
 
@@ -80,14 +81,16 @@ def _filled_rates(names: Iterable[str], fill: float) -> dict[str, Column]:
     return columns
 
 
-def history_means(his: DataFrame, now: DataFrame, named: Mapping[str, tuple[str | Keys, str]], spread_by: Sequence[str] = _ROW_KEY) -> DataFrame:
+def history_means(his: DataFrame, now: DataFrame, named: Mapping[str, tuple[str | Keys, str]], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """Mean of an attribute per key: a new column maps to (keys, attribute)."""
     attributes = dict.fromkeys(attribute for _, attribute in named.values())
-    stats = keyed_stats(his, [keys for keys, _ in named.values()], **{f"mean_{a}": F.avg(a) for a in attributes})
+    totals = {f"t_{a}": F.col(a) for a in attributes} | {f"c_{a}": F.col(a).isNotNull().cast("bigint") for a in attributes}
+    means = {f"mean_{a}": f"t_{a} / nullif(c_{a}, 0)" for a in attributes}
+    stats = keyed_stats(his, [keys for keys, _ in named.values()], means, **totals)
     features: dict[Keys, dict[str, str]] = {}
     for name, (keys, attribute) in named.items():
         features.setdefault(as_keys(keys), {})[name] = f"mean_{attribute}"
-    return _attach_history(now, stats, features, spread_by)
+    return _attach_history(now, stats, features, spread_by, source)
 
 
 def mean_deviations(df: DataFrame, named: Mapping[str, tuple[str, str, str]]) -> DataFrame:
@@ -99,11 +102,11 @@ def mean_deviations(df: DataFrame, named: Mapping[str, tuple[str, str, str]]) ->
     return df.withColumns(columns)
 
 
-def first_appearance(his: DataFrame, now: DataFrame, named: Mapping[str, str], spread_by: Sequence[str] = _ROW_KEY) -> DataFrame:
+def first_appearance(his: DataFrame, now: DataFrame, named: Mapping[str, str], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """1 where the key's value never occurs in the history: a new column maps to a key."""
     stats = keyed_stats(his, named.values())
     features = {as_keys(key): {name: ROWS} for name, key in named.items()}
-    now = _attach_history(now, stats, features, spread_by)
+    now = _attach_history(now, stats, features, spread_by, source)
     return now.withColumns({name: F.col(name).isNull().cast("int") for name in named})
 
 
@@ -128,7 +131,7 @@ def attach_asof(
 ) -> tuple[DataFrame, list[Keys]]:
     """Attach running sums of daily aggregates over the days before each row's own.
 
-    ``daily`` defines the aggregates of one (key, day); ``running`` maps a suffix to the one to sum,
+    ``daily`` defines the row values summed up by (key, day); ``running`` maps a suffix to the one to sum,
     attached as ``<prefix><keys>_<suffix>``. ``days`` limits the frame to that many days back. The
     windows run over one row per key and day. ``source`` is the log that holds the history where
     ``df`` is only some days of it; it must hold those days as well.
@@ -161,7 +164,7 @@ def asof_cvr(
     ``per_day`` divides ``_sum`` and ``_buy`` by the number of earlier days in the log.
     """
     source = df if source is None else source
-    df, key_sets = attach_asof(df, key_sets, {SEEN: known_rows(), BOUGHT: buys()}, {"sum": SEEN, "buy": BOUGHT}, days=days, spread_by=spread_by, source=source)
+    df, key_sets = attach_asof(df, key_sets, {SEEN: is_known(), BOUGHT: is_bought()}, {"sum": SEEN, "buy": BOUGHT}, days=days, spread_by=spread_by, source=source)
     columns: dict[str, Column] = {}
     if per_day:
         # one row per calendar day
@@ -179,7 +182,7 @@ def asof_cvr(
 
 def asof_rates(df: DataFrame, named_keys: Mapping[str, str | Keys], days: int = 9, fill: float = 1.0, spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """As :func:`rate_features`, for every day at once, over the ``days`` days before it."""
-    df, _ = attach_asof(df, named_keys.values(), {SEEN: known_rows(), BOUGHT: buys()}, {"seen": SEEN, "bought": BOUGHT}, days=days, prefix="h_", spread_by=spread_by, source=source)
+    df, _ = attach_asof(df, named_keys.values(), {SEEN: is_known(), BOUGHT: is_bought()}, {"seen": SEEN, "bought": BOUGHT}, days=days, prefix="h_", spread_by=spread_by, source=source)
     moved = {}
     for name, keys in named_keys.items():
         moved[f"h_{key_name(keys)}_seen"] = f"{name}_count"
@@ -192,8 +195,8 @@ def asof_means(df: DataFrame, named: Mapping[str, tuple[str | Keys, str]], days:
     attributes = list(dict.fromkeys(attribute for _, attribute in named.values()))
     daily: dict[str, Column] = {}
     for attribute in attributes:
-        daily[f"t_{attribute}"] = F.sum(attribute)
-        daily[f"c_{attribute}"] = F.count(attribute)
+        daily[f"t_{attribute}"] = F.col(attribute)
+        daily[f"c_{attribute}"] = F.col(attribute).isNotNull().cast("bigint")
     before = _before(days)
     within = {f"m_{a}": f"sum(t_{a}) OVER {before} / nullif(sum(c_{a}) OVER {before}, 0)" for a in attributes}
     features: dict[Keys, dict[str, str]] = {}
@@ -212,7 +215,7 @@ def asof_first_appearance(df: DataFrame, named: Mapping[str, str], days: int | N
 
 def yesterday_activity(df: DataFrame, named_keys: Mapping[str, str | Keys], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """``yes_<name>_count`` and ``yes_<name>_sum``: labelled clicks and buys of the key on the day before."""
-    df, _ = attach_asof(df, named_keys.values(), {SEEN: known_rows(), BOUGHT: buys()}, {"seen": SEEN, "bought": BOUGHT}, days=1, prefix="y_", spread_by=spread_by, source=source)
+    df, _ = attach_asof(df, named_keys.values(), {SEEN: is_known(), BOUGHT: is_bought()}, {"seen": SEEN, "bought": BOUGHT}, days=1, prefix="y_", spread_by=spread_by, source=source)
     moved = {}
     for name, keys in named_keys.items():
         moved[f"y_{key_name(keys)}_seen"] = f"yes_{name}_count"

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.rates import LABEL, buys, known_rows, smoothed
+from clickloom.functions.rates import LABEL, buys, is_bought, is_known, smoothed
 from clickloom.operators.history import BOUGHT, DAY, SEEN, attach_asof, history_cvr, key_name
 from clickloom.operators.keyed import Keys, as_keys
 
@@ -61,7 +61,7 @@ def smoothed_cvr_asof(df: DataFrame, key_sets: Iterable[str | Keys], priors: Map
 
     The divisor is the number of calendar days since ``first_day``. Days without a prior keep null.
     """
-    df, key_sets = attach_asof(df, key_sets, {SEEN: known_rows(), BOUGHT: buys()}, {"sum": SEEN, "buy": BOUGHT})
+    df, key_sets = attach_asof(df, key_sets, {SEEN: is_known(), BOUGHT: is_bought()}, {"sum": SEEN, "buy": BOUGHT})
     # one row per day that has a prior
     df = df.join(F.broadcast(prior_table(df, priors)), DAY, "left")
     columns = {}

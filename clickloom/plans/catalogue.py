@@ -634,7 +634,7 @@ _STAR_KEYS = ("user_id", "item_id", "item_brand_id", "item_price_level", "shop_i
 
 @query
 def star_count_by_key(spark, sf_dir):
-    log = star_log(spark, sf_dir)
+    log = written(star_log(spark, sf_dir))
     named = {**{f"{key}_all": key for key in _STAR_KEYS}, "user_id_shop_id_all": ("user_id", "shop_id")}
     df = counts.attach_counts(log, named, spread_by=("context_id",))
     return result(df, ["item_id", "shop_id", *named], ids=("context_id",))
@@ -642,7 +642,7 @@ def star_count_by_key(spark, sf_dir):
 
 @query
 def star_asof_cvr(spark, sf_dir):
-    log = star_log(spark, sf_dir)
+    log = written(star_log(spark, sf_dir))
     keys = ["item_brand_id", "shop_id", ("user_occupation_id", "cate_1")]
     df = history.asof_cvr(log, keys, spread_by=("context_id",))
     return result(df, ["item_id", "shop_id", "day_idx", *[c for c in df.columns if c not in log.columns]], ids=("context_id",))

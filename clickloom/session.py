@@ -31,19 +31,28 @@ class Limits:
     ``broadcast_rows``: a keyed aggregate is broadcast only if its counted rows stay within this.
     ``hot_rows``: a join key with more rows than this is split over several tasks. At most
     ``rows / hot_rows`` keys can be hot, which bounds the broadcast list of hot keys.
+    ``expand_bytes``: a log of at most this estimated size is expanded to all key sets in one pass, which
+    takes fewer jobs; a larger one goes through a lattice of key sets, which moves fewer rows.
     """
 
     broadcast_rows: int = 250_000
     hot_rows: int = 2_000_000
+    expand_bytes: int = 256 << 20
 
 
 def limits(spark: SparkSession) -> Limits:
     return Limits(
         broadcast_rows=int(spark.conf.get("spark.clickloom.broadcastRows", str(Limits.broadcast_rows))),
         hot_rows=int(spark.conf.get("spark.clickloom.hotRows", str(Limits.hot_rows))),
+        expand_bytes=int(spark.conf.get("spark.clickloom.expandBytes", str(Limits.expand_bytes))),
     )
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of a result; of files it is their size, of joins an upper bound."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates: the one the cluster names, else a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
