@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clickloom.functions.rates import LABEL, buys, is_bought, is_known, smoothed
+from clickloom.functions.rates import is_bought, is_known, smoothed
 from clickloom.operators.history import BOUGHT, DAY, SEEN, attach_asof, history_cvr, key_name
 from clickloom.operators.keyed import Keys, as_keys
+from clickloom.operators.priors import fit_beta_prior
 
 # The prior used for every key of the split form.
 ALPHA, BETA = 0.547384009831, 45.8073433366
@@ -29,16 +27,6 @@ DAY_PRIORS = {
 }
 
 
-@dataclass(frozen=True)
-class Prior:
-    alpha: float | None
-    beta: float | None
-    steps: int
-    converged: bool
-    #: The pooled rate, where keys differ no more than by chance and the prior would be infinitely strong.
-    pooled: float | None = None
-
-
 def smoothed_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys], alpha: float = ALPHA, beta: float = BETA) -> DataFrame:
     """``_sum``, ``_buy`` and a smoothed ``_cvr``; an unseen key gets the prior mean."""
     key_sets = [as_keys(k) for k in key_sets]
@@ -75,129 +63,6 @@ def smoothed_cvr_asof(df: DataFrame, key_sets: Iterable[str | Keys], priors: Map
     return df.withColumns(columns).drop("alpha", "beta", *[f"{key_name(k)}_buy" for k in key_sets])
 
 
-# ---- fitting ---------------------------------------------------------------------------------
-
-
-def count_histogram(df: DataFrame, keys: str | Keys, label: str = LABEL) -> DataFrame:
-    """How many keys have each number of impressions (I), conversions (C) and misses (M).
-
-    The values of one kind are distinct and sum to at most the rows of the log, so there are at most
-    sqrt(2 * rows) of them: about a million for 5e11 rows. That bounds what the driver collects.
-    """
-    keys = as_keys(keys)
-    per_key = (
-        df.where(F.col(label).isin(0, 1)).dropna(subset=list(keys)).groupBy(*keys).agg(F.count("*").alias("i"), buys(label).alias("c"))
-    )
-    kinds = F.array(
-        F.struct(F.lit("I").alias("kind"), F.col("i").alias("value")),
-        F.struct(F.lit("C").alias("kind"), F.col("c").alias("value")),
-        F.struct(F.lit("M").alias("kind"), (F.col("i") - F.col("c")).alias("value")),
-    )
-    return per_key.select(F.inline(kinds)).groupBy("kind", "value").agg(F.count("*").alias("keys"))
-
-
-def digamma(x: np.ndarray | float) -> np.ndarray:
-    """Recurrence up to x + 6, then the asymptotic series."""
-    x = np.asarray(x, dtype=float)
-    shift = sum(1.0 / (x + k) for k in range(6))
-    z = x + 6.0
-    w = 1.0 / (z * z)
-    series = w * (1 / 12 - w * (1 / 120 - w * (1 / 252 - w * (1 / 240 - w / 132))))
-    return np.log(z) - 0.5 / z - series - shift
-
-
-def trigamma(x: np.ndarray | float) -> np.ndarray:
-    x = np.asarray(x, dtype=float)
-    shift = sum(1.0 / (x + k) ** 2 for k in range(6))
-    z = x + 6.0
-    w = 1.0 / (z * z)
-    return 1 / z + w / 2 + (w / z) * (1 / 6 - w * (1 / 30 - w * (1 / 42 - w * (1 / 30 - w * 5 / 66)))) + shift
-
-
-def _gain(values: np.ndarray, keys: np.ndarray, at: float) -> float:
-    """Sum over keys of digamma(value + at) - digamma(at)."""
-    return float(np.sum(keys * (digamma(values + at) - digamma(at))))
-
-
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
-def _log_gain(values: np.ndarray, keys: np.ndarray, at: float) -> float:
-    """Sum over keys of log-gamma(value + at) - log-gamma(at)."""
-    return float(np.sum(keys * (_lgamma(values + at) - math.lgamma(at))))
-
-
-def _bend(values: np.ndarray, keys: np.ndarray, at: float) -> float:
-    return float(np.sum(keys * (trigamma(values + at) - trigamma(at))))
-
-
-def solve_prior(histogram: Mapping[str, tuple[np.ndarray, np.ndarray]], max_steps: int = 200, epsilon: float = 1e-8, compat: bool = False, start: tuple[float, float] | None = None) -> Prior:
-    """Maximum-likelihood beta prior from the histograms of I, C and M.
-
-    Newton steps where the likelihood is concave; a step that leaves the positive quadrant or does
-    not raise the likelihood is replaced by the fixed-point step, which always raises it. ``compat`` uses fixed-point steps
-    only, from (1, 1), as capped by ``max_steps``. Without a finite maximum ``alpha`` and ``beta`` are none, and ``pooled`` is
-    the rate over all impressions, if there are any.
-    """
-    empty = (np.zeros(0), np.zeros(0))
-    (iv, ik), (cv, ck), (mv, mk) = (histogram.get(kind, empty) for kind in "ICM")
-    shown = float(np.sum(iv * ik))
-    pooled = float(np.sum(cv * ck)) / shown if shown else None
-    if float(np.sum(iv * ik)) == 0 or float(np.sum(cv * ck)) == 0 or float(np.sum(mv * mk)) == 0:
-        # no impressions, no conversions or no misses: the likelihood has no finite maximum
-        return Prior(None, None, 0, False, pooled)
-
-    def residual(a: float, b: float) -> tuple[float, float, float, float, float]:
-        whole = _gain(iv, ik, a + b)
-        up, down = _gain(cv, ck, a), _gain(mv, mk, b)
-        return up - whole, down - whole, up, down, whole
-
-    def likelihood(a: float, b: float) -> float:
-        return _log_gain(cv, ck, a) + _log_gain(mv, mk, b) - _log_gain(iv, ik, a + b)
-
-    alpha, beta = start or ((1.0, 1.0) if compat else _rough_start(iv, ik, cv, ck))
-    for step in range(1, max_steps + 1):
-        f, g, up, down, whole = residual(alpha, beta)
-        fixed = (alpha * up / whole, beta * down / whole)
-        new = fixed
-        if not compat:
-            wb = _bend(iv, ik, alpha + beta)
-            faa, fbb, fab = _bend(cv, ck, alpha) - wb, _bend(mv, mk, beta) - wb, -wb
-            det = faa * fbb - fab * fab
-            if faa < 0 and det > 0:
-                tried = (alpha - (f * fbb - g * fab) / det, beta - (g * faa - f * fab) / det)
-                if min(tried) > 0 and all(map(np.isfinite, tried)):
-                    if likelihood(*tried) >= likelihood(alpha, beta):
-                        new = tried
-        moved = max(abs(new[0] - alpha), abs(new[1] - beta))
-        if moved < epsilon:
-            return Prior(float(alpha), float(beta), step, True)
-        alpha, beta = new
-        if not np.isfinite(alpha + beta) or alpha + beta > 1e12:
-            return Prior(None, None, step, False, pooled)
-    return Prior(float(alpha), float(beta), max_steps, False)
-
-
-def _rough_start(iv: np.ndarray, ik: np.ndarray, cv: np.ndarray, ck: np.ndarray) -> tuple[float, float]:
-    """Moments: the mean rate, and its mean square from pairs of impressions of one key."""
-    mean = float(np.sum(cv * ck) / np.sum(iv * ik))
-    pairs = float(np.sum(iv * (iv - 1) * ik))
-    spread = float(np.sum(cv * (cv - 1) * ck)) / pairs - mean * mean if pairs else 0.0
-    strength = mean * (1 - mean) / spread - 1 if spread > 0 else 0.0
-    if strength <= 0:
-        strength = max(float(np.sum(iv * ik) / max(np.sum(ik), 1.0)), 2.0)
-    return max(mean * strength, 1e-3), max((1 - mean) * strength, 1e-3)
-
-
-def fit_beta_prior(df: DataFrame, keys: str | Keys, max_steps: int = 200, epsilon: float = 1e-8, compat: bool = False) -> Prior:
-    rows = count_histogram(df, keys).collect()
-    histogram = {}
-    for kind in "ICM":
-        pairs = [(r["value"], r["keys"]) for r in rows if r["kind"] == kind]
-        histogram[kind] = (np.array([v for v, _ in pairs], dtype=float), np.array([k for _, k in pairs], dtype=float))
-    return solve_prior(histogram, max_steps, epsilon, compat)
-
-
 def smoothed_cvr_fitted(his: DataFrame, now: DataFrame, key: str | Keys, max_steps: int = 200, compat: bool = False) -> DataFrame:
     """``I``, ``C`` and ``<key>_buy_smooth`` with a prior fitted to the history; keys without spread all get the pooled rate."""
     prior = fit_beta_prior(his, key, max_steps=max_steps, compat=compat)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions import parsing, timing
-from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, smoothing
+from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, priors, smoothing
 from clickloom.plans import final_stage, first_stage, presets, rolling_stage
 from clickloom.session import shared_folder, written
 from clickloom.sources import click_log
@@ -490,7 +490,7 @@ def smoothed_cvr_asof(spark, sf_dir):
 
 @query
 def prior_histogram(spark, sf_dir):
-    return result(smoothing.count_histogram(events_log(spark, sf_dir), "user_id"))
+    return result(priors.count_histogram(events_log(spark, sf_dir), "user_id"))
 
 
 @query
@@ -498,7 +498,7 @@ def fit_beta_prior(spark, sf_dir):
     log = events_log(spark, sf_dir)
     rows = []
     for key in ("item_id", "user_id"):
-        prior = smoothing.fit_beta_prior(log, key)
+        prior = priors.fit_beta_prior(log, key)
         rows.append((key, prior.alpha, prior.beta, prior.converged))
     return spark.createDataFrame(rows, "key string, alpha double, beta double, converged boolean")
 
@@ -509,6 +509,39 @@ def smoothed_cvr_fitted(spark, sf_dir):
     return added(smoothing.smoothed_cvr_fitted(his, now, "item_id"), now)
 
 
+#: Key sets with a prior for each day, and the fixed-point steps of the queries that have a SQL form.
+PRIOR_KEYS = ("item_id", "user_id", ("user_occupation_id", "item_brand_id"))
+PRIOR_STEPS = 3
+
+
+@query
+def smoothed_cvr_fitted_steps(spark, sf_dir):
+    """As ``smoothed_cvr_fitted``, with a few steps of the original's iteration from (1, 1)."""
+    his, now = split(spark, sf_dir)
+    return added(smoothing.smoothed_cvr_fitted(his, now, "item_id", max_steps=PRIOR_STEPS, compat=True), now)
+
+
+@query
+def day_priors(spark, sf_dir):
+    """The prior of each key set for each day, fitted to the days before it."""
+    return result(priors.day_priors(assembled(spark, sf_dir), PRIOR_KEYS), ["key_set", "day_idx", "alpha", "beta", "pooled", "converged"], ids=())
+
+
+def _priors_by_steps(spark, sf_dir):
+    return priors.day_priors(assembled(spark, sf_dir), PRIOR_KEYS, max_steps=PRIOR_STEPS, compat=True)
+
+
+@query
+def day_priors_steps(spark, sf_dir):
+    return result(_priors_by_steps(spark, sf_dir), ["key_set", "day_idx", "alpha", "beta", "pooled", "steps"], ids=())
+
+
+@query
+def smoothed_cvr_by_day(spark, sf_dir):
+    log = assembled(spark, sf_dir)
+    return added(priors.smoothed_cvr_by_day(log, PRIOR_KEYS, _priors_by_steps(spark, sf_dir)), log)
+
+
 # ---- encoding --------------------------------------------------------------------------------
 
 

@@ -12,7 +12,7 @@ from clickloom.operators.counts import bucket_name, cross_counts, day_hour_count
 from clickloom.operators.history import key_name
 from clickloom.operators.keyed import as_keys
 from clickloom.plans import presets
-from clickloom.plans.catalogue import ROLLING_TARGETS, TARGET
+from clickloom.plans.catalogue import PRIOR_KEYS, PRIOR_STEPS, ROLLING_TARGETS, TARGET
 from clickloom.sources.click_log import CLICK_LOG
 
 RAW = """
@@ -374,6 +374,67 @@ def build_day_features() -> str:
     return joins.sql(f"WHERE e.day_idx IN ({', '.join(map(str, ROLLING_TARGETS))})")
 
 
+def fixed_steps(per_key: str, groups: Iterable[str], steps: int) -> str:
+    """CTEs that end in ``fitted``: alpha, beta and the pooled rate of each group, after some fixed-point steps from (1, 1).
+
+    ``per_key`` selects the groups with each key's impressions ``i`` and conversions ``c``. The difference of digamma between
+    v + x and x is the sum of 1 / (x + j) over j < v.
+    """
+    by = ", ".join(groups)
+    on = " AND ".join(["true", *[f"p.{g} = h.{g}" for g in groups]])
+    picked = ", ".join([f"h.{g}" for g in groups])
+    lead, trail = (f"{by}, " if by else ""), (f" GROUP BY {picked}" if by else "")
+
+    def gain(value: str, at: str) -> str:
+        return f"sum(h.n * coalesce(list_sum(list_transform(range({value}), lambda j: 1.0::DOUBLE / ({at} + j))), 0))"
+
+    ctes = [
+        f"per_key AS ({per_key})",
+        f"hist AS MATERIALIZED (SELECT {lead}i, c, count(*) AS n FROM per_key GROUP BY {lead}i, c)",
+        f"step_0 AS (SELECT {lead}1.0::DOUBLE AS a, 1.0::DOUBLE AS b, sum(n * c) / sum(n * i)::DOUBLE AS pooled, sum(n * c) > 0 AND sum(n * (i - c)) > 0 AS finite FROM hist{' GROUP BY ' + by if by else ''})",
+    ]
+    for k in range(steps):
+        whole = gain("h.i", "p.a + p.b")
+        ctes.append(
+            f"step_{k + 1} AS MATERIALIZED (SELECT {picked + ', ' if by else ''}any_value(p.a) * {gain('h.c', 'p.a')} / {whole} AS a, any_value(p.b) * {gain('h.i - h.c', 'p.b')} / {whole} AS b, "
+            f"any_value(p.pooled) AS pooled, any_value(p.finite) AS finite FROM hist h JOIN step_{k} p ON {on}{trail})"
+        )
+    ctes.append(f"fitted AS (SELECT {lead}CASE WHEN finite THEN a END AS alpha, CASE WHEN finite THEN b END AS beta, pooled, CASE WHEN finite THEN {steps} ELSE 0 END AS steps FROM step_{steps})")
+    return ",\n".join(ctes)
+
+
+def day_fits() -> str:
+    """``fitted`` for each key set and day of the assembled log."""
+    parts = []
+    for keys in map(as_keys, PRIOR_KEYS):
+        by = ", ".join(f"l.{k}" for k in keys)
+        parts.append(
+            f"SELECT '{key_name(keys)}' AS key_set, d.day_idx, count(*) AS i, count(*) FILTER (l.is_trade = 1) AS c FROM (SELECT DISTINCT day_idx FROM assembled) d "
+            f"JOIN assembled l ON l.day_idx < d.day_idx AND l.is_trade IN (0, 1) GROUP BY d.day_idx, {by}"
+        )
+    return ASSEMBLED + ",\n" + fixed_steps("\nUNION ALL ".join(parts), ("key_set", "day_idx"), PRIOR_STEPS)
+
+
+def smoothed_by_day() -> str:
+    joins = Joins("assembled", day_fits())
+    for keys in map(as_keys, PRIOR_KEYS):
+        name, a = key_name(keys), joins.asof(keys, OUTCOMES, TOTALS, "assembled")
+        f = joins.join("day_idx", f"SELECT * FROM fitted WHERE key_set = '{name}'")
+        rate = f"(coalesce({a}.b, 0) + {f}.alpha) / (coalesce({a}.n, 0) + {f}.alpha + {f}.beta)"
+        joins.columns += [big(f"nullif({a}.n, 0)", f"{name}_sum"), real(f"coalesce({rate}, {f}.pooled)", f"{name}_cvr")]
+    return joins.sql()
+
+
+def fitted_steps() -> str:
+    per_key = f"SELECT count(*) AS i, count(*) FILTER (is_trade = 1) AS c FROM {KNOWN_HISTORY} GROUP BY item_id"
+    joins = Joins(NOW, LOG + ",\n" + fixed_steps(per_key, (), PRIOR_STEPS))
+    a = joins.group("item_id", OUTCOMES, KNOWN_HISTORY)
+    rate = f"(coalesce({a}.b, 0) + f.alpha) / (coalesce({a}.n, 0) + f.alpha + f.beta)"
+    joins.columns += [big(f"{a}.n", "I"), big(f"{a}.b", "C"), real(f"coalesce({rate}, f.pooled)", "item_id_buy_smooth")]
+    joins.joins.append("CROSS JOIN fitted f")
+    return joins.sql()
+
+
 TEXT_PARTS = {
     **{f"category_{i}": f"split_part(item_category_list, ';', {i + 1})" for i in range(3)},
     **{f"property_{i}": f"split_part(item_property_list, ';', {i + 1})" for i in range(3)},
@@ -552,6 +613,9 @@ def statements() -> dict[str, str]:
     sql["first_appearance"] = joins.sql()
 
     # smoothing
+    sql["smoothed_cvr_fitted_steps"] = fitted_steps()
+    sql["day_priors_steps"] = f"WITH {day_fits()}\nSELECT key_set, {big('day_idx')}, {real('alpha')}, {real('beta')}, {real('pooled')}, {big('steps')} FROM fitted"
+    sql["smoothed_cvr_by_day"] = smoothed_by_day()
     alpha, beta = smoothing.ALPHA, smoothing.BETA
     joins = Joins(NOW)
     for keys in ("item_id", "user_id", ("user_id", "item_id")):

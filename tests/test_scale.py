@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from clickloom.operators import counts, history, ordered
 from clickloom.operators.keyed import attach, keyed_stats
-from clickloom.operators.smoothing import digamma, solve_prior, trigamma
 from clickloom.sources import click_log
+from plain_priors import digamma, solve_prior, trigamma
 
 
 def skewed_log(spark):
