@@ -28,7 +28,7 @@ TRAIN_RUNS = 400
 
 Span = tuple[str, int, int]
 
-# A match of these patterns always begins at the start of a run of digits, which the look-behind says; possessive
+# A match of these patterns always begins at the start of a run of their characters, which the look-behind says; possessive
 # repeats change no match and keep long runs linear.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -37,7 +37,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
 _RUN = re.compile(r"[+(]?[0-9][0-9\x20().+-]*")
-_MAIL_RUN = re.compile(r"[A-Za-z0-9._%+-]+(?:@[A-Za-z0-9._%+-]+)+")
+_MAIL_RUN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9._%+-]++)++")
 _GROUP = re.compile(r"[0-9]+")
 _PIECE = re.compile(r"[A-Za-z0-9_%+-]+")
 
