@@ -51,10 +51,14 @@ def _attach_history(now: DataFrame, his: KeyedStats, features: Mapping[Keys, Map
 def history_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """``<keys>_sum``, ``_buy`` and ``_cvr`` from the labelled history rows; null for unseen keys."""
     key_sets = [as_keys(k) for k in key_sets]
-    # a key seen only in unlabelled rows has no history
-    his = his.where(F.col(LABEL).isin(0, 1))
-    stats = outcome_stats(his, key_sets)
-    named = {keys: {f"{key_name(keys)}_sum": SEEN, f"{key_name(keys)}_buy": BOUGHT} for keys in key_sets}
+    return attach_cvr(outcome_stats(his.where(F.col(LABEL).isin(0, 1)), key_sets), now, key_sets, spread_by, source)
+
+
+def attach_cvr(stats: KeyedStats, now: DataFrame, key_sets: Iterable[str | Keys], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
+    """:func:`history_cvr` from aggregates that exist. A key seen only in unlabelled rows has no history."""
+    key_sets = [as_keys(k) for k in key_sets]
+    seen, bought = f"nullif({SEEN}, 0)", f"if({SEEN} > 0, {BOUGHT}, NULL)"
+    named = {keys: {f"{key_name(keys)}_sum": seen, f"{key_name(keys)}_buy": bought} for keys in key_sets}
     now = _attach_history(now, stats, named, spread_by, source)
     rates = {}
     for keys in key_sets:
@@ -84,12 +88,19 @@ def _filled_rates(names: Iterable[str], fill: float) -> dict[str, Column]:
 def history_means(his: DataFrame, now: DataFrame, named: Mapping[str, tuple[str | Keys, str]], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """Mean of an attribute per key: a new column maps to (keys, attribute)."""
     attributes = dict.fromkeys(attribute for _, attribute in named.values())
-    totals = {f"t_{a}": F.col(a) for a in attributes} | {f"c_{a}": F.col(a).isNotNull().cast("bigint") for a in attributes}
-    means = {f"mean_{a}": f"t_{a} / nullif(c_{a}, 0)" for a in attributes}
-    stats = keyed_stats(his, [keys for keys, _ in named.values()], means, **totals)
+    return attach_means(keyed_stats(his, [keys for keys, _ in named.values()], **attribute_totals(attributes)), now, named, spread_by, source)
+
+
+def attribute_totals(attributes: Iterable[str]) -> dict[str, Column]:
+    """Row values whose sums give the mean of each attribute."""
+    return {f"t_{a}": F.col(a) for a in attributes} | {f"c_{a}": F.col(a).isNotNull().cast("bigint") for a in attributes}
+
+
+def attach_means(stats: KeyedStats, now: DataFrame, named: Mapping[str, tuple[str | Keys, str]], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
+    """:func:`history_means` from aggregates that exist."""
     features: dict[Keys, dict[str, str]] = {}
     for name, (keys, attribute) in named.items():
-        features.setdefault(as_keys(keys), {})[name] = f"mean_{attribute}"
+        features.setdefault(as_keys(keys), {})[name] = f"t_{attribute} / nullif(c_{attribute}, 0)"
     return _attach_history(now, stats, features, spread_by, source)
 
 
@@ -104,7 +115,11 @@ def mean_deviations(df: DataFrame, named: Mapping[str, tuple[str, str, str]]) ->
 
 def first_appearance(his: DataFrame, now: DataFrame, named: Mapping[str, str], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """1 where the key's value never occurs in the history: a new column maps to a key."""
-    stats = keyed_stats(his, named.values())
+    return attach_first_appearance(keyed_stats(his, named.values()), now, named, spread_by, source)
+
+
+def attach_first_appearance(stats: KeyedStats, now: DataFrame, named: Mapping[str, str], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
+    """:func:`first_appearance` from aggregates that exist."""
     features = {as_keys(key): {name: ROWS} for name, key in named.items()}
     now = _attach_history(now, stats, features, spread_by, source)
     return now.withColumns({name: F.col(name).isNull().cast("int") for name in named})

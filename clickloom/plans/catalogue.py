@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions import parsing, timing
-from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, priors, smoothing
+from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, priors, smoothing, snapshots
 from clickloom.plans import final_stage, first_stage, presets, rolling_stage
 from clickloom.session import shared_folder, written
 from clickloom.sources import click_log
@@ -440,6 +440,19 @@ def rate_feature(spark, sf_dir):
     return added(history.rate_features(prepare.recent_days(log, TARGET), now, presets.ROLLING_RATES), now)
 
 
+@query
+def incremental_history(spark, sf_dir):
+    """History rates and means of the target day from a store that grew by days."""
+    log = events_log(spark, sf_dir)
+    now = log.where(F.col("day_idx") == TARGET)
+    store = snapshots.HistoryStore(spark, scratch(spark), [*presets.FINAL_HISTORY, *presets.FINAL_HISTORY_PAIRS, "item_brand_id"], dict.fromkeys(a for _, a in presets.FINAL_MEANS.values()))
+    store.add(log.where(F.col("day_idx") < TARGET - 2))
+    for day in (TARGET - 2, TARGET - 1):
+        store.add(log.where(F.col("day_idx") == day))
+    df = store.cvr(now, TARGET, [*presets.FINAL_HISTORY, *presets.FINAL_HISTORY_PAIRS])
+    return added(store.means(df, TARGET, presets.FINAL_MEANS, source=now), now)
+
+
 @query
 def history_mean(spark, sf_dir):
     his, now = split(spark, sf_dir)

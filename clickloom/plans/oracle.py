@@ -613,6 +613,10 @@ def statements() -> dict[str, str]:
     sql["first_appearance"] = joins.sql()
 
     # smoothing
+    joins = Joins(NOW)
+    add_history(joins, [*presets.FINAL_HISTORY, *presets.FINAL_HISTORY_PAIRS], KNOWN_HISTORY)
+    add_means(joins, presets.FINAL_MEANS, HISTORY)
+    sql["incremental_history"] = joins.sql()
     sql["smoothed_cvr_fitted_steps"] = fitted_steps()
     sql["day_priors_steps"] = f"WITH {day_fits()}\nSELECT key_set, {big('day_idx')}, {real('alpha')}, {real('beta')}, {real('pooled')}, {big('steps')} FROM fitted"
     sql["smoothed_cvr_by_day"] = smoothed_by_day()

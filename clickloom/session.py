@@ -76,6 +76,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder, if it is there."""
+    files, at = _hadoop(spark, path)
+    return [str(status.getPath()) for status in files.listStatus(at)] if files.exists(at) else []
+
+
 def removed(table: DataFrame | str, spark: SparkSession | None = None) -> bool:
     """Remove a table that :func:`written` wrote, or a folder below the shared folder, once nothing reads it any more.
 
