@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL, is_bought, is_known
+from clickloom.operators.filters import flag_new
 from clickloom.operators.keyed import ROWS, Keys, KeyedStats, as_keys, attach, attach_each, keyed_stats
 
 DAY = "day_idx"
@@ -120,9 +121,14 @@ def first_appearance(his: DataFrame, now: DataFrame, named: Mapping[str, str], s
 
 def attach_first_appearance(stats: KeyedStats, now: DataFrame, named: Mapping[str, str], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
     """:func:`first_appearance` from aggregates that exist."""
-    features = {as_keys(key): {name: ROWS} for name, key in named.items()}
-    now = _attach_history(now, stats, features, spread_by, source)
-    return now.withColumns({name: F.col(name).isNull().cast("int") for name in named})
+    large = {name: key for name, key in named.items() if stats.sizes[as_keys(key)] > stats.limits.broadcast_rows}
+    small = {name: key for name, key in named.items() if name not in large}
+    now = _attach_history(now, stats, {as_keys(key): {name: ROWS} for name, key in small.items()}, spread_by, source)
+    now = now.withColumns({name: F.col(name).isNull().cast("int") for name in small}) if small else now
+    for name, key in large.items():
+        # null keys of the history match nothing
+        now = flag_new(now, stats.of(key, **{ROWS: ROWS}).dropna(subset=list(as_keys(key))), key, name, spread_by, stats.limits, stats.sizes[as_keys(key)])
+    return now
 
 
 # ---- as-of form ------------------------------------------------------------------------------

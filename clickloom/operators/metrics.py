@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL, buys, known_rows, ratio
+from clickloom.operators import prepare
 
 ID, SCORE = "instance_id", "predicted_score"
 EDGE = 1e-15
@@ -110,10 +111,16 @@ def positive_means(df: DataFrame, key: str, columns: Sequence[str], label: str =
     return df.groupBy(key).agg(*[F.avg(F.when(bought, F.col(c))).alias(f"{key}_buy_{c}_mean") for c in columns])
 
 
-def log_profile(df: DataFrame) -> DataFrame:
-    """Rows, rows without duplicates, columns and the time span. Duplicates are counted, not collected."""
-    counted = df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
-    return counted.agg(
-        F.sum("copies").alias("n_rows"), F.count("*").alias("n_distinct"), F.lit(len(df.columns)).alias("n_columns"),
-        F.min("context_timestamp").alias("first_time"), F.max("context_timestamp").alias("last_time"),
+def log_profile(df: DataFrame, of_row: Column | None = None) -> DataFrame:
+    """Rows, rows without duplicates, columns and the time span.
+
+    Rows are grouped by fingerprint, and compared as a whole only where fingerprints meet, so a log without duplicates moves no text.
+    """
+    again, _, counted = prepare.by_fingerprint(df, of_row)
+    rows = counted.agg(F.coalesce(F.sum(prepare.ROWS), F.lit(0)).alias("n_rows"), F.count_if(F.col(prepare.ROWS) == 1).alias("n_once"))
+    repeated = again.groupBy(*df.columns).agg(F.lit(1)).agg(F.count("*").alias("n_again"))
+    span = df.agg(F.min("context_timestamp").alias("first_time"), F.max("context_timestamp").alias("last_time"))
+    # one row each
+    return rows.join(F.broadcast(repeated)).join(F.broadcast(span)).select(
+        "n_rows", (F.col("n_once") + F.col("n_again")).alias("n_distinct"), F.lit(len(df.columns)).alias("n_columns"), "first_time", "last_time"
     )

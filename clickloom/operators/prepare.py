@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL
+from clickloom.operators.filters import keep_members, split_members
+from clickloom.operators.keyed import ROWS
+from clickloom.session import written
 
 
 def assemble_log(train: DataFrame, *unlabelled: DataFrame) -> DataFrame:
@@ -18,9 +21,29 @@ def assemble_log(train: DataFrame, *unlabelled: DataFrame) -> DataFrame:
     return log.withColumn(LABEL, F.coalesce(F.col(LABEL), F.lit(-1)).cast("int"))
 
 
-def dedupe_log(df: DataFrame) -> DataFrame:
-    """Drop whole-row duplicates. Partial aggregation removes copies before the shuffle."""
-    return df.dropDuplicates()
+_PRINT = "row_fingerprint"
+
+
+def fingerprint(df: DataFrame) -> Column:
+    """A hash of all columns of a row; equal rows have equal ones, nulls included."""
+    return F.xxhash64(*df.columns)
+
+
+def by_fingerprint(df: DataFrame, of_row: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows whose fingerprint occurs again, rows whose doesn't, and how often each fingerprint occurs (``n_rows``, written).
+
+    Only fingerprints are grouped. Of the wide rows, those of the first kind alone ever need to be compared.
+    """
+    marked = df.withColumn(_PRINT, fingerprint(df) if of_row is None else of_row)
+    counted = written(marked.groupBy(_PRINT).agg(F.count("*").alias(ROWS)))
+    again, once = split_members(marked, counted.where(F.col(ROWS) > 1).select(_PRINT), _PRINT)
+    return again.drop(_PRINT), once.drop(_PRINT), counted
+
+
+def dedupe_log(df: DataFrame, of_row: Column | None = None) -> DataFrame:
+    """Drop whole-row duplicates. Rows are compared as a whole only where their fingerprints meet; partial aggregation removes copies before the shuffle."""
+    again, once, _ = by_fingerprint(df, of_row)
+    return once.unionByName(again.dropDuplicates())
 
 
 def fill_nulls(df: DataFrame, number: float = -1, text: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -69,4 +92,5 @@ def tagged(parts: Mapping[str, DataFrame], column: str = "part") -> DataFrame:
 
 
 def keep_requested(df: DataFrame, requested: DataFrame, key: str = "instance_id") -> DataFrame:
-    return df.join(requested.select(key), key, "left_semi")
+    """The rows whose key is requested. Of many requested keys, a filter keeps most other rows out of the shuffle."""
+    return keep_members(df, requested, key)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clickloom.functions import parsing, timing
-from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, priors, smoothing, snapshots
+from clickloom.operators import counts, encode, history, metrics, model, ordered, prepare, priors, sketches, smoothing, snapshots
 from clickloom.plans import final_stage, first_stage, presets, rolling_stage
 from clickloom.session import shared_folder, written
 from clickloom.sources import click_log
@@ -95,6 +95,22 @@ def read_click_log(spark, sf_dir):
     return result(click_log.read_click_log(spark, path))
 
 
+@query
+def read_or_quarantine(spark, sf_dir):
+    """A text log with its columns turned around and some fields broken: rows that read right, and lines kept apart, by reason."""
+    path, broken = scratch(spark), F.col("instance_id") % 50
+    log = raw_events_log(spark, sf_dir)
+    texts = log.select(*[F.col(name).cast("string").alias(name) for name in log.columns[::-1]])
+    texts = texts.withColumn("item_id", F.when(broken == 1, F.lit("none")).when(broken == 2, F.concat("item_id", F.lit(".5"))).otherwise(F.col("item_id")))
+    texts.write.option("sep", " ").option("header", True).csv(path)
+    read = click_log.read_or_quarantine(spark, path)
+    good = read.good.groupBy("item_brand_id").agg(F.count("*").alias("n"), F.sum("item_id").alias("item_ids"))
+    bad = read.bad.groupBy("reason").agg(F.count("*").alias("n"))
+    good = good.select(F.lit("good").alias("kind"), F.col("item_brand_id").cast("string").alias("what"), "n", "item_ids")
+    bad = bad.select(F.lit("bad").alias("kind"), F.col("reason").alias("what"), "n", F.lit(None).cast("bigint").alias("item_ids"))
+    return result(good.unionByName(bad), ["kind", "what", "n", "item_ids"], ids=())
+
+
 @query
 def stage_roundtrip(spark, sf_dir):
     log, path = events_log(spark, sf_dir), scratch(spark)
@@ -255,6 +271,14 @@ def heat_distinct(spark, sf_dir):
     return added(counts.attach_distinct(log, presets.FINAL_HEAT), log)
 
 
+@query
+def heat_days(spark, sf_dir):
+    """Heat of the target day's rows over the nine days before it, from sketches kept by day."""
+    log = events_log(spark, sf_dir)
+    now = log.where(F.col("day_idx") == TARGET)
+    return added(sketches.attach_heat(now, sketches.day_sketches(log, presets.FINAL_HEAT), TARGET - 9, TARGET - 1), now)
+
+
 @query
 def heat_distinct_daily(spark, sf_dir):
     log = events_log(spark, sf_dir)

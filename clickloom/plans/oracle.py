@@ -614,6 +614,14 @@ def statements() -> dict[str, str]:
 
     # smoothing
     joins = Joins(NOW)
+    add_distinct(joins, presets.FINAL_HEAT, RECENT)
+    sql["heat_days"] = joins.sql()
+    broken = "CASE instance_id % 50 WHEN 1 THEN 'none' ELSE CAST(item_id AS VARCHAR) || '.5' END"
+    sql["read_or_quarantine"] = (
+        f"WITH {RAW}\nSELECT 'good' AS kind, CAST(item_brand_id AS VARCHAR) AS what, {big('count(*)', 'n')}, {big('sum(item_id)', 'item_ids')} FROM raw_log WHERE instance_id % 50 NOT IN (1, 2) GROUP BY item_brand_id "
+        f"UNION ALL SELECT 'bad', 'item_id is no bigint: ' || {broken}, count(*), NULL FROM raw_log WHERE instance_id % 50 IN (1, 2) GROUP BY 2"
+    )
+    joins = Joins(NOW)
     add_history(joins, [*presets.FINAL_HISTORY, *presets.FINAL_HISTORY_PAIRS], KNOWN_HISTORY)
     add_means(joins, presets.FINAL_MEANS, HISTORY)
     sql["incremental_history"] = joins.sql()

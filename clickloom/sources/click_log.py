@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,51 @@ def read_click_log(spark: SparkSession, path: str, labelled: bool = True) -> Dat
     return spark.read.schema(schema).option("sep", " ").option("header", True).option("enforceSchema", False).csv(path)
 
 
+@dataclass(frozen=True)
+class Quarantined:
+    """``good`` rows with the log's columns, and ``bad`` lines: file, line and reason. Every line but the headers is in one of them."""
+
+    good: DataFrame
+    bad: DataFrame
+
+
+def read_or_quarantine(spark: SparkSession, path: str, labelled: bool = True) -> Quarantined:
+    """Read a text log whose files may order their columns differently, and keep the lines that are no click.
+
+    A file's header is its line made of the column names; each field goes to the column that the header puts in its place.
+    A line is bad if its file has no header or more than one, if it has too few or too many fields, or if a field is not
+    empty and no value of its column's type. Empty fields are null, and so is the label of an unlabelled log.
+    """
+    schema = CLICK_LOG if labelled else T.StructType(CLICK_LOG.fields[:-1])
+    names = [f.name for f in schema.fields]
+    fields = F.split("line", " ", -1)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")).withColumn("fields", fields)
+    is_header = F.array_sort("fields") == F.array(*map(F.lit, sorted(names)))
+    headers = lines.where(is_header).groupBy("file").agg(F.collect_set("line").alias("headers"))
+    # one header per file; its position list is what the lines need
+    order = F.when(F.size("headers") == 1, F.transform(F.array(*map(F.lit, names)), lambda name: F.array_position(F.split(F.col("headers")[0], " "), name)))
+    rows = lines.where(~is_header).join(headers.select("file", order.alias("order"), F.size("headers").alias("n_headers")), "file", "left")
+    whole = F.col("order").isNotNull() & (F.size("fields") == len(names))
+    values, wrong = [], []
+    for i, field in enumerate(schema.fields):
+        text = F.when(whole, F.get("fields", (F.get("order", F.lit(i)) - 1).cast("int")))
+        text = F.when(text == '""', F.lit("")).when(text != "", text)
+        value = text if field.dataType == _TEXT else text.try_cast(field.dataType)
+        values.append(value.alias(field.name))
+        if field.dataType != _TEXT:
+            said = F.concat(F.lit(f"{field.name} is no {field.dataType.simpleString()}: "), text)
+            wrong.append(F.when(text.isNotNull() & value.isNull(), said))
+    reason = (
+        F.when(F.col("n_headers").isNull(), F.lit("the file has no header"))
+        .when(F.col("n_headers") > 1, F.lit("the file has several headers"))
+        .when(F.col("line") == "", F.lit("empty line"))
+        .when(~whole, F.concat(F.size("fields").cast("string"), F.lit(f" fields instead of {len(names)}")))
+        .otherwise(F.coalesce(*wrong))
+    )
+    judged = rows.select("file", "line", F.struct(*values).alias("click"), reason.alias("reason"))
+    return Quarantined(judged.where("reason is null").select("click.*"), judged.where("reason is not null").select("file", "line", "reason"))
+
+
 def write_click_log(df: DataFrame, path: str) -> None:
     columns = [f.name for f in CLICK_LOG.fields if f.name in df.columns]
     df.select(*columns).write.mode("overwrite").option("sep", " ").option("header", True).csv(path)
