@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterable, Sequence
-from dataclasses import replace
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from clickloom.functions.rates import LABEL
 from clickloom.operators import metrics, prepare
 from clickloom.operators.boosting import MARGIN, BoostedTrees, Booster, boost
 from clickloom.operators.boosting import probability as of_margin
-from clickloom.session import written
+from clickloom.session import removed, written
 
 FEATURES = "features"
 
@@ -95,27 +97,69 @@ def cross_validate(df: DataFrame, columns: Sequence[str], booster: Booster, fold
     return losses
 
 
-def greedy_select(train: DataFrame, test: DataFrame, columns: Sequence[str], booster: Booster, passes: int = 10, min_gain: float = 0.00003, seed: int = 2018) -> list[str]:
+@dataclass
+class Trials:
+    """Fits on subsets of columns, over vectors of all columns that are assembled and written once.
+
+    ``at_once`` trials run side by side, each as jobs of its own; a trial's columns are sliced from the vectors.
+    """
+
+    train: DataFrame
+    test: DataFrame
+    columns: Sequence[str]
+    booster: Booster
+    at_once: int = 4
+
+    @classmethod
+    def over(cls, train: DataFrame, test: DataFrame, columns: Sequence[str], booster: Booster, at_once: int = 4) -> Trials:
+        known = F.col(LABEL).isin(0, 1)
+        return cls(written(assembled(train.where(known), columns)), written(assembled(test.where(known), columns)), list(columns), booster, at_once)
+
+    def loss(self, chosen: Sequence[str]) -> float:
+        """Log loss on the test rows of a model of the chosen columns."""
+        slicer = VectorSlicer(inputCol="every", outputCol=FEATURES, indices=[self.columns.index(c) for c in chosen])
+        sliced = [slicer.transform(df.withColumnRenamed(FEATURES, "every")).drop("every") for df in (self.train, self.test)]
+        scored = _classifier(self.booster).fit(sliced[0]).transform(sliced[1])
+        bought = F.get(vector_to_array("probability"), F.lit(1))
+        return metrics.log_loss(scored.select(LABEL, bought.alias(metrics.SCORE))).first()["log_loss"]
+
+    def losses(self, sets: Sequence[Sequence[str]]) -> list[float]:
+        spark = self.train.sparkSession
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return list(pool.map(inheritable_thread_target(spark)(self.loss), sets))
+
+    def done(self) -> None:
+        removed(self.train)
+        removed(self.test)
+
+
+def greedy_select(train: DataFrame, test: DataFrame, columns: Sequence[str], booster: Booster, passes: int = 10, min_gain: float = 0.00003, seed: int = 2018, at_once: int = 4) -> list[str]:
     """Random forward selection: a feature stays if it lowers the test log loss by more than ``min_gain``.
 
     Each pass starts over with an empty set, on the features no earlier pass accepted. Returns the
-    accepted features in the order they were accepted.
+    accepted features in the order they were accepted. The next few features are tried side by side with what is chosen so
+    far; after the first that is accepted the others are tried anew, so the result is that of one trial after another.
     """
     order = random.Random(seed)
+    trials = Trials.over(train, test, columns, booster, at_once)
     accepted: list[str] = []
     for _ in range(passes):
         pool = [c for c in columns if c not in accepted]
         order.shuffle(pool)
         chosen: list[str] = []
-        best = 1.0
-        for column in pool:
-            tried = [*chosen, column]
-            loss = metrics.log_loss(score(fit(train, tried, booster), test, tried)).first()["log_loss"]
-            if best - loss > min_gain:
-                chosen, best = tried, loss
+        best, at = 1.0, 0
+        while at < len(pool):
+            tried = pool[at : at + at_once]
+            found = trials.losses([[*chosen, column] for column in tried])
+            for column, loss in zip(tried, found):
+                at += 1
+                if best - loss > min_gain:
+                    chosen, best = [*chosen, column], loss
+                    break
         if not chosen:
             break
         accepted.extend(chosen)
+    trials.done()
     return accepted
 
 

@@ -721,8 +721,6 @@ def star_asof_cvr(spark, sf_dir):
 # ---- models ----------------------------------------------------------------------------------
 
 BOOSTER = presets.SMALL_BOOSTER
-#: One fit of the greedy selection, which makes up to n * (n + 1) / 2 of them for n columns.
-TRIAL = model.Booster(rounds=3, depth=3, rate=0.1)
 MODEL_COLUMNS = ["item_id_cvr", "user_id_cvr", "item_price_level", "item_sales_level", "user_age_level", "hour"]
 
 
@@ -780,7 +778,7 @@ def feature_importance(spark, sf_dir):
 def greedy_select(spark, sf_dir):
     known, _ = prepare.label_split(model_table(spark, sf_dir))
     train, test = prepare.day_split(known, 0, 27)
-    chosen = model.greedy_select(train, test, MODEL_COLUMNS, TRIAL)
+    chosen = model.greedy_select(train, test, MODEL_COLUMNS, presets.TRIAL_BOOSTER)
     return spark.createDataFrame(list(enumerate(chosen)), "position int, feature string")
 
 

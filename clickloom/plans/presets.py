@@ -222,3 +222,5 @@ ROLLING_BOOSTER = Booster(rounds=100_000, depth=5, rate=0.02, column_share=0.7,
 SMALL_BOOSTER = Booster(rounds=110, depth=4, rate=0.1)
 # the second model of the day experiment
 SECOND_BOOSTER = Booster(rounds=97, depth=5, rate=0.1)
+# one trial of the greedy selection: the defaults of the original's library
+TRIAL_BOOSTER = Booster(rounds=100, depth=3, rate=0.1)
