@@ -7,21 +7,43 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clickloom.functions import timing
+from clickloom.operators import ordered
 from clickloom.operators.keyed import ROWS, Keys, as_keys, attach, attach_each, keyed_stats
-from clickloom.session import written
+from clickloom.session import estimated_bytes, limits, written
 
 _ROW_KEY = ("instance_id",)
+_USER, _TIME = "user_id", "count_time"
 
 
 def attach_counts(df: DataFrame, named_keys: Mapping[str, str | Keys], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:
-    """Clicks per key set, one column each: ``named_keys`` maps a new column to its keys."""
-    stats = keyed_stats(df if source is None else source, named_keys.values())
-    features = {as_keys(keys): {name: ROWS} for name, keys in named_keys.items()}
-    return attach_each(df, stats, features, spread_by=spread_by)
+    """Clicks per key set, one column each: ``named_keys`` maps a new column to its keys.
+
+    On a large log the key sets that contain a user are counted where the user's ticks lie: one exchange of the wide rows
+    for all of them, where each would need its own as an aggregate that is too large to broadcast.
+    """
+    log = df if source is None else source
+    columns = [*df.columns, *named_keys]
+    rest = {name: as_keys(keys) for name, keys in named_keys.items()}
+    by_user = {name: keys for name, keys in rest.items() if _USER in keys}
+    if len(by_user) > 1 and ordered.TIME in log.columns and estimated_bytes(log) > limits(df.sparkSession).expand_bytes:
+        families: dict[Keys, dict[str, Column]] = {}
+        for name, keys in by_user.items():
+            families.setdefault(keys, {})[name] = ordered.place("count")
+        # a click without a time counts as well
+        time = {_TIME: F.coalesce(F.col(ordered.TIME), F.lit(0))}
+        df = ordered.place_families(df.withColumns(time), families, time=_TIME, spread_by=spread_by, source=log.withColumns(time)).drop(_TIME)
+        rest = {name: keys for name, keys in rest.items() if name not in by_user}
+    if not rest:
+        return df.select(*columns)
+    stats = keyed_stats(log, rest.values())
+    features: dict[Keys, dict[str, str]] = {}
+    for name, keys in rest.items():
+        features.setdefault(keys, {})[name] = ROWS
+    return attach_each(df, stats, features, spread_by=spread_by).select(*columns)
 
 
 def attach_target_counts(df: DataFrame, named: Mapping[str, tuple[str | Keys, str]], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql.window import Window
 
 from clickloom.session import written
 
-#: A column with more values than this gets one sparse vector in place of a column for each value.
-WIDE_VALUES = 1_000
+#: Most values that the column form of :func:`one_hot` makes columns of.
+MOST_VALUES = 1_000
 
 
 def value_codes(train: DataFrame, column: str) -> DataFrame:
@@ -45,10 +45,12 @@ def label_encode(train: DataFrame, other: DataFrame, columns: Iterable[str]) ->
     return train, other
 
 
-def vocabulary(train: DataFrame, column: str, most: int = WIDE_VALUES) -> list | None:
-    """Sorted distinct values of a column, or none if it has more than ``most``."""
+def vocabulary(train: DataFrame, column: str, most: int = MOST_VALUES) -> list:
+    """Sorted distinct values of a column; an error if it has more than ``most``."""
     rows = train.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    return sorted(row[0] for row in rows) if len(rows) <= most else None
+    if len(rows) > most:
+        raise ValueError(f"{column} has more than {most} values: use the vector form")
+    return sorted(row[0] for row in rows)
 
 
 def one_hot_vectors(train: DataFrame, other: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
@@ -66,13 +68,19 @@ def one_hot_vectors(train: DataFrame, other: DataFrame, column: str) -> tuple[Da
     return coded(train), coded(other)
 
 
-def one_hot(train: DataFrame, other: DataFrame, columns: Iterable[str], most: int = WIDE_VALUES) -> tuple[DataFrame, DataFrame]:
-    """A 0/1 column ``<column><value>`` for each value seen in ``train``, on both tables; beyond ``most`` values a sparse vector."""
+def one_hot(train: DataFrame, other: DataFrame, columns: Iterable[str], form: str = "vector", most: int = MOST_VALUES) -> tuple[DataFrame, DataFrame]:
+    """The values seen in ``train``, on both tables; any other value is all zeros.
+
+    In the ``vector`` form, which takes any number of values, each column gets a sparse vector ``<column>_onehot``. In the
+    ``columns`` form it gets a 0/1 column ``<column><value>`` for each of at most ``most`` values.
+    """
+    if form not in ("vector", "columns"):
+        raise ValueError(f"no such form: {form}")
     for column in columns:
-        values = vocabulary(train, column, most)
-        if values is None:
+        if form == "vector":
             train, other = one_hot_vectors(train, other, column)
-        else:
-            added = {f"{column}{value}": F.coalesce(F.col(column) == F.lit(value), F.lit(False)).cast("int") for value in values}
-            train, other = train.withColumns(added), other.withColumns(added)
+            continue
+        values = vocabulary(train, column, most)
+        added = {f"{column}{value}": F.coalesce(F.col(column) == F.lit(value), F.lit(False)).cast("int") for value in values}
+        train, other = train.withColumns(added), other.withColumns(added)
     return train, other

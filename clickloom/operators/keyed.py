@@ -218,6 +218,30 @@ def keyed_stats(
     )
 
 
+#: Bytes of a value in a broadcast row, for texts and for the rest, with what a hash table adds.
+_TEXT_BYTES, _VALUE_BYTES, _ROW_BYTES = 40, 8, 32
+
+
+def broadcast_size(stats: DataFrame, rows: int) -> int:
+    """Bytes that so many rows of ``stats`` take in a broadcast, about."""
+    kinds = [kind for _, kind in stats.dtypes]
+    return rows * (_ROW_BYTES + sum(_TEXT_BYTES if kind == "string" else _VALUE_BYTES for kind in kinds))
+
+
+class Budget:
+    """What is left to broadcast for one family of features."""
+
+    def __init__(self, bound: Limits):
+        self.rows, self.left = bound.broadcast_rows, bound.broadcast_bytes
+
+    def takes(self, stats: DataFrame, rows: int) -> bool:
+        size = broadcast_size(stats, rows)
+        if rows > self.rows or size > self.left:
+            return False
+        self.left -= size
+        return True
+
+
 def attach(
     df: DataFrame,
     stats: DataFrame,
@@ -228,6 +252,7 @@ def attach(
     spread_by: Sequence[str] = ("instance_id",),
     bound: Limits | None = None,
     null_safe: bool = False,
+    budget: Budget | None = None,
 ) -> DataFrame:
     """Left-join ``stats`` (one row per key) to ``df``. ``null_safe`` lets null keys meet; otherwise they match nothing.
 
@@ -237,7 +262,7 @@ def attach(
     """
     on = list(as_keys(on))
     bound = bound or limits(df.sparkSession)
-    if size is not None and size <= bound.broadcast_rows:
+    if size is not None and (budget or Budget(bound)).takes(stats, size):
         return _joined(df, F.broadcast(stats), on, null_safe)
     if hot is None:
         return _joined(df, stats, on, null_safe)
@@ -290,6 +315,7 @@ def attach_each(
     ``rows`` holds the row counts of ``df`` by the same key sets, where ``stats`` was computed from
     another table; a shuffle join needs them to find its hot keys.
     """
+    budget = Budget(stats.limits)
     for keys, named in features.items():
         keys = as_keys(keys)
         counted = stats if rows is None else rows
@@ -301,5 +327,6 @@ def attach_each(
             hot=counted.hot_keys(keys) if keys in counted.hot else None,
             spread_by=spread_by,
             bound=stats.limits,
+            budget=budget,
         )
     return df

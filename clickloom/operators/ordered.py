@@ -83,12 +83,13 @@ _NAMES = ("here", "count", "before", "time_rank", "first", "last", "previous", "
 
 def _placed(tick: DataFrame, families: Sequence[Keys], time: str, sliced: bool) -> DataFrame:
     """``tick`` with a column ``place_<name>_<i>`` for each place in the i-th family; null where one of its keys is null."""
+    base = tick
     for i, keys in enumerate(families):
         first, second = _places([*keys, _SLICE] if sliced else keys, time)
         tick = tick.withColumns({_PLACE + name: column for name, column in first.items()})
         tick = tick.withColumns({_PLACE + name: column for name, column in second.items()})
         if sliced:
-            tick = _carried(tick, keys, time)
+            tick = _carried(tick, base, keys, time)
         known = F.lit(True)
         for key in keys:
             known = known & F.col(key).isNotNull()
@@ -96,15 +97,17 @@ def _placed(tick: DataFrame, families: Sequence[Keys], time: str, sliced: bool)
     return tick
 
 
-def _carried(tick: DataFrame, keys: Keys, time: str) -> DataFrame:
-    """Places within a slice become places within the whole key, by the totals of the key's other slices."""
+def _carried(tick: DataFrame, base: DataFrame, keys: Keys, time: str) -> DataFrame:
+    """Places within a slice become places within the whole key, by the totals of the key's other slices.
+
+    The totals come from ``base``, the ticks as they were before any family, so that the plan grows by one join a family.
+    """
     ordered = Window.partitionBy(*keys).orderBy(_SLICE)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
     # one row for each key and slice
-    totals = tick.groupBy(*keys, _SLICE).agg(
-        F.sum(ROWS).alias("n"), F.max(_PLACE + "time_rank").alias("times"), F.min(time).alias("low"), F.max(time).alias("high")
-    )
+    seconds = base.groupBy(*keys, _SLICE, time).agg(F.sum(ROWS).alias("n"))
+    totals = seconds.groupBy(*keys, _SLICE).agg(F.sum("n").alias("n"), F.count("*").alias("times"), F.min(time).alias("low"), F.max(time).alias("high"))
     carried = totals.select(
         *keys, _SLICE,
         F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("carried_before"), F.coalesce(F.sum("times").over(earlier), F.lit(0)).alias("carried_times"),
@@ -150,7 +153,7 @@ def placed_ticks(tick: DataFrame, families: Sequence[Keys], anchor: Sequence[str
             minute = F.floor(F.col(time) / _MINUTE)
             sliced = sliced.withColumn(_SLICE, F.size(F.filter(_STARTS, lambda start: start <= minute))).drop(_STARTS)
             cold = tick.join(F.broadcast(starts), anchor, "left_anti").repartition(*anchor)
-            hot = _placed(sliced.repartition(*anchor, _SLICE), families, time, sliced=True).drop(_SLICE)
+            hot = _placed(written(sliced).repartition(*anchor, _SLICE), families, time, sliced=True).drop(_SLICE)
             return _placed(cold, families, time, sliced=False).unionByName(hot)
     return _placed(tick.repartition(*anchor), families, time, sliced=False)
 
@@ -186,7 +189,7 @@ def place_families(
     wide = placed.select(*grain, *[c for c in placed.columns if c.startswith(_PLACE)])
     # only clicks of one second can make a tick hot
     hot = tick.where(F.col(ROWS) > bound.hot_rows).select(*grain, ROWS) if most > bound.hot_rows else None
-    df = attach(df, wide, grain, size=rows * len(families), hot=hot, spread_by=spread_by, bound=bound, null_safe=True)
+    df = attach(df, wide, grain, size=rows, hot=hot, spread_by=spread_by, bound=bound, null_safe=True)
     for i, features in enumerate(families.values()):
         df = df.withColumnsRenamed({f"{_PLACE}{name}_{i}": _PLACE + name for name in _NAMES})
         df = df.withColumns(_derived_places()).withColumns(dict(features))

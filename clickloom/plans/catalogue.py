@@ -597,7 +597,7 @@ def property_overlap(spark, sf_dir):
 @query
 def one_hot(spark, sf_dir):
     his, now = split(spark, sf_dir)
-    return added(encode.one_hot(his, now, presets.ROLLING_ONE_HOT)[1], now)
+    return added(encode.one_hot(his, now, presets.ROLLING_ONE_HOT, form="columns")[1], now)
 
 
 @query

@@ -52,7 +52,7 @@ def run(log: DataFrame, days: Sequence[int], booster: model.Booster = presets.RO
     table = written(prepare.fill_nulls(day_features(log, days)), partition_by="day_idx")
     *earlier, held_out, last = sorted(days)
     day = F.col("day_idx")
-    train, test = encode.one_hot(table.where(day < last), table.where(day == last), presets.ROLLING_ONE_HOT)
+    train, test = encode.one_hot(table.where(day < last), table.where(day == last), presets.ROLLING_ONE_HOT, form="columns")
     train, _ = prepare.label_split(train)
     columns = prepare.feature_columns(train, presets.ROLLING_EXCLUDED)
     fitted, rounds = model.fit_refit(train.where(day < held_out), train.where(day == held_out), train, columns, booster)

@@ -29,6 +29,7 @@ class Limits:
     """Row limits behind every physical choice this package makes itself.
 
     ``broadcast_rows``: a keyed aggregate is broadcast only if its counted rows stay within this.
+    ``broadcast_bytes``: what the tables broadcast for one family of features may take together.
     ``hot_rows``: a join key with more rows than this is split over several tasks. At most
     ``rows / hot_rows`` keys can be hot, which bounds the broadcast list of hot keys.
     ``expand_bytes``: a log of at most this estimated size is expanded to all key sets in one pass, which
@@ -36,6 +37,7 @@ class Limits:
     """
 
     broadcast_rows: int = 250_000
+    broadcast_bytes: int = 256 << 20
     hot_rows: int = 2_000_000
     expand_bytes: int = 256 << 20
 
@@ -43,6 +45,7 @@ class Limits:
 def limits(spark: SparkSession) -> Limits:
     return Limits(
         broadcast_rows=int(spark.conf.get("spark.clickloom.broadcastRows", str(Limits.broadcast_rows))),
+        broadcast_bytes=int(spark.conf.get("spark.clickloom.broadcastBytes", str(Limits.broadcast_bytes))),
         hot_rows=int(spark.conf.get("spark.clickloom.hotRows", str(Limits.hot_rows))),
         expand_bytes=int(spark.conf.get("spark.clickloom.expandBytes", str(Limits.expand_bytes))),
     )

@@ -119,7 +119,7 @@ def test_labels_of_an_assembled_log(days):
 def test_one_hot_uses_the_training_vocabulary(spark):
     train = spark.createDataFrame([(1, 2)], "instance_id long, g int")
     other = spark.createDataFrame([(2, 2), (3, 7)], "instance_id long, g int")
-    _, coded = encode.one_hot(train, other, ["g"])
+    _, coded = encode.one_hot(train, other, ["g"], form="columns")
     assert coded.columns == ["instance_id", "g", "g2"] and column(coded, "g2") == [1, 0]
 
 

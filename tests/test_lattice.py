@@ -86,3 +86,39 @@ def test_features_do_not_depend_on_the_way(spark, request):
 def test_empty_log(spark, large):
     stats = keyed_stats(events_log(spark, SF_DIR).limit(0), presets.ROLLING_RATES["user"] and [("user_id", "hour"), "user_id", "hour", "item_id", "shop_id"])
     assert set(stats.sizes.values()) == {0} and stats.of("user_id").count() == 0
+
+
+def test_counts_by_user_share_one_exchange(spark, request):
+    log = events_log(spark, SF_DIR).withColumn("context_timestamp", F.expr("if(instance_id % 13 = 0, null, context_timestamp)")).withColumn("shop_id", F.expr("if(instance_id % 7 = 0, null, shop_id)"))
+    some = {name: presets.FIRST_USER_COUNTS[name] for name in ("user_day_sum", "user_day_hour_minute_sum", "user_day_shop_sum")}
+    named = {**presets.FINAL_USER_PAIRS, **some, "shop_all": "shop_id"}
+    plain = sorted(map(str, catalogue.added(counts.attach_counts(log, named), log).collect()))
+    request.getfixturevalue("large")
+    request.getfixturevalue("split_keys")
+    spark.conf.unset("spark.clickloom.hotRows")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by_user = counts.attach_counts(log, {**presets.FINAL_USER_PAIRS, **some})
+        plan = by_user._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange hashpartitioning") == 3
+        # users cut into slices count the same
+        spark.conf.set("spark.clickloom.hotRows", "3")
+        assert sorted(map(str, catalogue.added(counts.attach_counts(log, named), log).collect())) == plain
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_broadcasts_share_a_budget_of_bytes(spark):
+    df = spark.range(1000).select(F.col("id").alias("a"), F.col("id").alias("b"), F.col("id").alias("instance_id"))
+    stats = keyed_stats(df, ["a", "b"])
+    one = keyed.broadcast_size(stats.of("a"), 1000)
+    spark.conf.set("spark.clickloom.broadcastBytes", str(int(one * 1.5)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = keyed.attach_each(df, keyed_stats(df, ["a", "b"]), {("a",): {"x": "n_rows"}, ("b",): {"y": "n_rows"}})
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 1
+        assert joined.where("x <> 1 or y <> 1").count() == 0
+    finally:
+        spark.conf.unset("spark.clickloom.broadcastBytes")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
