@@ -322,6 +322,37 @@ def _verified(spark: SparkSession, texts: DataFrame, pairs: DataFrame, shingle:
     return both.where(OVERLAP * F.size(F.array_intersect("left", "right")) >= SIZES * F.col("n")).select("a", "b")
 
 
+def _ids_of_several_sets(rows: DataFrame) -> DataFrame:
+    """The ids whose rows differ in their sets."""
+    ends = [end(c).alias(f"{name}_{c}") for c in ("n", "s1", "s2") for name, end in (("low", F.min), ("high", F.max))]
+    by_id = rows.where("doc_id is not null").groupBy("doc_id").agg(*ends)
+    return by_id.where("low_n <> high_n or low_s1 <> high_s1 or low_s2 <> high_s2").select("doc_id")
+
+
+def _by_texts(texts: DataFrame, several: DataFrame, shingle: int, cells: int, block: int) -> DataFrame:
+    """Components where an id may have several texts: each of these is a node of its own, tied to its id.
+
+    Such a node's number is above all ids, so that no component is named by it. It is made of a hash of id and text; two
+    nodes of one number, which m nodes have with a chance of about m * m / 2^62, would count as one.
+    """
+    several = written(several)
+    top = texts.agg(F.max("doc_id")).first()[0]
+    free = (1 << 63) - 2 - top
+    # texts of the given ids only; a null text is an empty one
+    node = F.lit(top + 1) + F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(free))
+    marked = written(texts.join(several.withColumn("split", F.lit(True)), "doc_id", "left").withColumn("node", F.when(F.col("split"), node).otherwise(F.col("doc_id"))))
+    own = written(jaccard_components(marked.select(F.col("node").alias("doc_id"), "text"), shingle, cells, block).withColumnRenamed("doc_id", "node"))
+    ties = marked.where("split").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    links = own.where("node is not null and node != component_id").select(F.col("component_id").alias("a"), F.col("node").alias("b")).distinct()
+    final = components(written(links.unionByName(ties)))
+    # a node has one text, so its repeated rows agree
+    sizes = own.where("node is not null").select("node", "n_shingles").distinct()
+    known = marked.select("doc_id", "node").join(sizes, "node").drop("node")
+    known = known.join(final, F.col("doc_id") == F.col("node"), "left")
+    nameless = own.where("node is null").select(F.col("node").alias("doc_id"), "n_shingles", F.col("component_id"))
+    return known.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(nameless)
+
+
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row of ``docs`` (``doc_id``, ``text``).
 
@@ -339,6 +370,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, cells: int = CEL
     counts = np.zeros(cells, dtype=np.int64 if times.max(initial=0) >= 1 << 31 else np.int32)
     counts[cell] = times
     rows = described.where("seen is null").drop("seen")
+    several = _ids_of_several_sets(rows)
+    if not several.isEmpty():
+        return _by_texts(texts, several, shingle, cells, block)
 
     has_links = rows.where("n > 0 and doc_id is not null")
     classes = has_links.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
