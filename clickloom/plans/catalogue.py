@@ -712,7 +712,8 @@ def star_count_by_key(spark, sf_dir):
 
 @query
 def star_asof_cvr(spark, sf_dir):
-    log = written(star_log(spark, sf_dir))
+    # the counted keys and the id only: the other columns would go through every exchange of the joins
+    log = written(star_log(spark, sf_dir).select("context_id", *_STAR_KEYS))
     keys = ["item_brand_id", "shop_id", ("user_occupation_id", "cate_1")]
     df = history.asof_cvr(log, keys, spread_by=("context_id",))
     return result(df, ["item_id", "shop_id", "day_idx", *[c for c in df.columns if c not in log.columns]], ids=("context_id",))
@@ -720,6 +721,8 @@ def star_asof_cvr(spark, sf_dir):
 
 # ---- models ----------------------------------------------------------------------------------
 
+    columns = ["item_brand_id", "shop_id", "user_occupation_id", "cate_1"]
+    log = written(star_log(spark, sf_dir).select("context_id", "item_id", *columns, "day_idx", "is_trade"))
 BOOSTER = presets.SMALL_BOOSTER
 MODEL_COLUMNS = ["item_id_cvr", "user_id_cvr", "item_price_level", "item_sales_level", "user_age_level", "hour"]
 

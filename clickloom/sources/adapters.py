@@ -61,10 +61,11 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    # orders meet their customers before the line items, of which there are several to an order
+    orders = read("orders").join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
     joined = (
         read("lineitem")
-        .join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(read("customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
