@@ -728,8 +728,13 @@ MODEL_COLUMNS = ["item_id_cvr", "user_id_cvr", "item_price_level", "item_sales_l
 
 
 def model_table(spark, sf_dir):
-    """Labelled rows with as-of rates, over the whole log."""
-    return written(history.asof_cvr(assembled(spark, sf_dir), ["item_id", "user_id"]))
+    """Labelled rows with as-of rates, over the whole log; the columns that models and their splits read.
+
+    The log is derived once: as the source of the rates and as the rows that get them it would be parsed twice.
+    """
+    own = [c for c in MODEL_COLUMNS if not c.endswith("_cvr")]
+    log = written(assembled(spark, sf_dir).select("instance_id", "is_trade", "day_idx", "item_id", "user_id", *own))
+    return written(history.asof_cvr(log, ["item_id", "user_id"]).select("instance_id", "is_trade", "day_idx", *MODEL_COLUMNS))
 
 
 @query
