@@ -66,6 +66,10 @@ def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return prepare.split_history_current(events_log(spark, sf_dir), TARGET)
 
 
+#: Derived columns that no feature of the first stage reads.
+FIRST_UNREAD = ("item_category_list", "item_property_list", "cate_0", "cate_2", "pre_0", "pre_1", "pre_2", "ts", "day", "context_id", "context_page_id")
+
+
 def assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events_log(spark, sf_dir)
     day = F.col("day_idx")
@@ -687,7 +691,8 @@ def final_stage_features(spark, sf_dir):
 
 @query
 def first_stage_features(spark, sf_dir):
-    log = events_log(spark, sf_dir)
+    # derived once, as every family of features reads it again
+    log = written(events_log(spark, sf_dir).drop(*FIRST_UNREAD))
     return added(first_stage.features(log), log)
 
 
