@@ -698,7 +698,9 @@ def first_stage_features(spark, sf_dir):
 
 @query
 def rate_table(spark, sf_dir):
-    log = assembled(spark, sf_dir)
+    sets = [*presets.DUMP_ITEM_RATE_KEYS, *presets.FIRST_USER_RATE_KEYS, *presets.FIRST_SHOP_RATE_KEYS, *presets.FIRST_PAIR_RATE_KEYS]
+    keys = dict.fromkeys(key for keys in sets for key in keys)
+    log = written(assembled(spark, sf_dir).select("instance_id", "is_trade", "day_idx", *keys))
     return added(first_stage.rate_table(log), log)
 
 
