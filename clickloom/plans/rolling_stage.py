@@ -31,7 +31,8 @@ def today_features(df: DataFrame, source: DataFrame) -> DataFrame:
 
 def day_features(log: DataFrame, days: Sequence[int], window: int = presets.ROLLING_DAYS) -> DataFrame:
     """Features of the given days. One pass serves them all: range frames replace a loop over days."""
-    log = prepared(log)
+    # every family reads the log again, so its text parts are cut out once
+    log = written(prepared(log))
     first, last = min(days), max(days)
     # the frames look back this far and no further, so older partitions are not read
     source = log.where(F.col("day_idx").between(first - window, last))
