@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions import timing
 from clickloom.operators import ordered
-from clickloom.operators.keyed import ROWS, Keys, as_keys, attach, attach_each, keyed_stats
+from clickloom.operators.keyed import ROWS, Keys, Pack, as_keys, attach, attach_each, keyed_stats
 from clickloom.session import estimated_bytes, limits, written
 
 _ROW_KEY = ("instance_id",)
@@ -75,14 +75,17 @@ def attach_bucket_counts(df: DataFrame, keys: Iterable[str], spread_by: Sequence
     within = {f"n_{bins}": f"sum({ROWS}) OVER (PARTITION BY {{keys}}, hour, hour_{bins})" for bins in (2, 4, 6)}
     within["n_1"] = f"sum({ROWS}) OVER (PARTITION BY {{keys}}, hour)"
     stats = keyed_stats(source, [(key, *units) for key in keys], within, units)
+    pack = Pack(df, [*keys, units[-1], *spread_by])
+    df, moved = pack.df, []
     for key in keys:
+        moved = [key, units[-1], *[c for c in moved if c not in (key, units[-1])]]
         grain = (key, *units)
         named = {bucket_name(key, bins): f"n_{bins}" for bins in (1, 2, 4, 6)}
         rolled = stats.of(grain, **named, **{bucket_name(key, 12): ROWS}).drop(*units[:-1])
         hot = stats.hot_keys(grain)
         hot = None if hot is None else hot.select(key, "hour_12", ROWS)
         df = attach(df, rolled, (key, "hour_12"), size=stats.sizes[grain], hot=hot, spread_by=spread_by, bound=stats.limits)
-    return df
+    return pack.opened(df, moved)
 
 
 def day_hour_counts(keys: Iterable[str]) -> dict[str, Keys]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clickloom.functions.rates import LABEL, is_bought, is_known
 from clickloom.operators.filters import flag_new
-from clickloom.operators.keyed import ROWS, Budget, Keys, KeyedStats, as_keys, attach, attach_each, keyed_stats
+from clickloom.operators.keyed import ROWS, Budget, Keys, KeyedStats, Pack, as_keys, attach, attach_each, keyed_stats
 
 DAY = "day_idx"
 _ROW_KEY = ("instance_id",)
@@ -44,10 +44,13 @@ def _counted_rows(now: DataFrame, key_sets: Sequence[Keys], his: KeyedStats) ->
 def _attach_history(now: DataFrame, his: KeyedStats, features: Mapping[Keys, Mapping[str, str]], spread_by: Sequence[str], source: DataFrame | None = None) -> DataFrame:
     rows = _counted_rows(now if source is None else source, list(features), his)
     budget = Budget(his.limits)
+    pack = Pack(now, [*(c for keys in features for c in keys), *spread_by])
+    now, moved = pack.df, []
     for keys, named in features.items():
+        moved = [*keys, *[c for c in moved if c not in keys]]
         hot = rows.hot_keys(keys) if rows is not None and keys in rows.hot else None
         now = attach(now, his.of(keys, **named), keys, size=his.sizes[keys], hot=hot, spread_by=spread_by, bound=his.limits, budget=budget)
-    return now
+    return pack.opened(now, moved)
 
 
 def history_cvr(his: DataFrame, now: DataFrame, key_sets: Iterable[str | Keys], spread_by: Sequence[str] = _ROW_KEY, source: DataFrame | None = None) -> DataFrame:

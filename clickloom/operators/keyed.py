@@ -25,6 +25,7 @@ from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clickloom.session import Limits, estimated_bytes, limits, written
 
@@ -269,6 +270,45 @@ def attach(
     return _salted(df, stats, on, hot, bound.hot_rows, spread_by, null_safe)
 
 
+#: So many columns that no join needs are carried through a chain of joins in arrays.
+PACK_FROM = 20
+_PACK = "packed_"
+
+
+class Pack:
+    """Columns that a chain of joins only carries along, put into one array for each of their types.
+
+    Every join copies each column of its rows, and generates no code of its own for rows of more than
+    ``spark.sql.codegen.maxFields`` columns. Arrays are copied whole, and count as one column.
+    """
+
+    def __init__(self, df: DataFrame, keep: Iterable[str]):
+        keep = set(keep)
+        kinds: dict[str, list[str]] = {}
+        for name, kind in df.dtypes:
+            if name not in keep:
+                kinds.setdefault(kind, []).append(name)
+        # metadata and types of a user's own stay with their columns
+        plain = {f.name for f in df.schema.fields if not f.metadata and not isinstance(f.dataType, T.UserDefinedType)}
+        groups = [[c for c in names if c in plain] for names in kinds.values()]
+        groups = [names for names in groups if len(names) > 1]
+        if sum(map(len, groups)) < PACK_FROM:
+            groups = []
+        self.places = {name: F.get(F.col(f"{_PACK}{i}"), F.lit(at)).alias(name) for i, names in enumerate(groups) for at, name in enumerate(names)}
+        arrays = [F.array(*[F.col(c) for c in names]).alias(f"{_PACK}{i}") for i, names in enumerate(groups)]
+        self.columns = df.columns
+        self.df = df.select(*[c for c in df.columns if c not in self.places], *arrays) if groups else df
+
+    def opened(self, df: DataFrame, moved: Iterable[str] = ()) -> DataFrame:
+        """``df``, which the joins made, with the columns in their places; those ``moved`` to the front, as joins by name do."""
+        if not self.places:
+            return df
+        moved = list(moved)
+        first = [*moved, *[c for c in self.columns if c not in moved]]
+        new = [c for c in df.columns if c not in self.columns and not c.startswith(_PACK)]
+        return df.select(*[self.places.get(c, c) for c in first], *new)
+
+
 def _joined(df: DataFrame, other: DataFrame, on: list[str], null_safe: bool) -> DataFrame:
     if not null_safe:
         return df.join(other, on, "left")
@@ -316,8 +356,11 @@ def attach_each(
     another table; a shuffle join needs them to find its hot keys.
     """
     budget = Budget(stats.limits)
+    pack = Pack(df, [*(c for keys in features for c in as_keys(keys)), *spread_by])
+    df, moved = pack.df, []
     for keys, named in features.items():
         keys = as_keys(keys)
+        moved = [*keys, *[c for c in moved if c not in keys]]
         counted = stats if rows is None else rows
         df = attach(
             df,
@@ -329,4 +372,4 @@ def attach_each(
             bound=stats.limits,
             budget=budget,
         )
-    return df
+    return pack.opened(df, moved)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clickloom.functions import timing
-from clickloom.operators.keyed import ROWS, Keys, as_keys, attach
+from clickloom.operators.keyed import ROWS, Keys, Pack, as_keys, attach
 from clickloom.session import Limits, limits, written
 
 TIME = "context_timestamp"
@@ -189,7 +189,8 @@ def place_families(
     wide = placed.select(*grain, *[c for c in placed.columns if c.startswith(_PLACE)])
     # only clicks of one second can make a tick hot
     hot = tick.where(F.col(ROWS) > bound.hot_rows).select(*grain, ROWS) if most > bound.hot_rows else None
-    df = attach(df, wide, grain, size=rows, hot=hot, spread_by=spread_by, bound=bound, null_safe=True)
+    pack = Pack(df, [*grain, *spread_by])
+    df = pack.opened(attach(pack.df, wide, grain, size=rows, hot=hot, spread_by=spread_by, bound=bound, null_safe=True))
     for i, features in enumerate(families.values()):
         df = df.withColumnsRenamed({f"{_PLACE}{name}_{i}": _PLACE + name for name in _NAMES})
         df = df.withColumns(_derived_places()).withColumns(dict(features))
